@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.registry import retrieval
+from revlens.registry import cleaning, retrieval
 
-_MODULES = [retrieval]
+_MODULES = [retrieval, cleaning]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
