@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.registry import cleaning, retrieval
+from revlens.registry import cleaning, retrieval, understanding
 
-_MODULES = [retrieval, cleaning]
+_MODULES = [retrieval, cleaning, understanding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
