@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.session import ensure_checkpoint_dir
+
 
 def _n_partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -28,14 +30,17 @@ def _n_partitions(df: DataFrame, n: int | None) -> int:
 
 def with_row_index(
     df: DataFrame, order_cols: Sequence[str], out_col: str = "row_id", num_partitions: int | None = None,
-    checkpoint: bool = False,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """Add ``out_col`` = 0-based position of the row in ``order_cols`` order.
 
-    ``checkpoint=True`` writes the ranged, position-tagged rows to the shared
-    checkpoint folder first, so that a lost executor cannot change positions
-    between the count and the numbering (the default plan relies on the range
-    exchange being deterministic, which it is for a unique order).
+    The ranged, position-tagged rows are written with a reliable
+    ``checkpoint()`` (to the folder named by ``spark.checkpoint.dir``) before
+    they are counted and numbered.  Both steps then read the same partitions:
+    without it, an input coming out of a shuffle (row order inside a partition
+    not fixed) could be range-sampled differently by the two branches, and a
+    lost executor could re-create a partition with other positions.
+    ``checkpoint=False`` is only safe for inputs read straight from files.
     """
     n = _n_partitions(df, num_partitions)
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
@@ -43,6 +48,7 @@ def with_row_index(
         "_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
     )
     if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
         tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.registry import cleaning, pages, retrieval, understanding
+from revlens.registry import cleaning, pages, retrieval, transcript, understanding
 
-_MODULES = [retrieval, cleaning, understanding, pages]
+_MODULES = [retrieval, cleaning, understanding, pages, transcript]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
