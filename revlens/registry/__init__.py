@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.registry import cleaning, pages, retrieval, transcript, understanding
+from revlens.registry import cleaning, pages, retrieval, streaming, transcript, understanding
 
-_MODULES = [retrieval, cleaning, understanding, pages, transcript]
+_MODULES = [retrieval, cleaning, understanding, pages, transcript, streaming]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
