@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from revlens.functions.htmltree import Node, parse
+from revlens.operators.joins import spread
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,7 @@ def extract_records(
                     out.append(item)
             yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return df.select(*keep, html_col).mapInPandas(run, schema)
+    return spread(df.select(*keep, html_col)).mapInPandas(run, schema)
 
 
 # Rating-table headers of a review record, in the reference's
@@ -184,4 +185,4 @@ def extract_reviews(
                     out.append(item)
             yield pd.DataFrame(out, columns=names)
 
-    return pages.select(*keep, html_col).mapInPandas(run, schema)
+    return spread(pages.select(*keep, html_col)).mapInPandas(run, schema)

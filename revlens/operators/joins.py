@@ -24,3 +24,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def broadcast_list(df: DataFrame, values_len: int, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a frame built from a driver-side list whose length is known."""
     return F.broadcast(df) if values_len <= max_rows else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when ``df`` has fewer partitions than the
+    cluster's parallelism (e.g. a large file stored as one row group) ahead of
+    CPU-heavy per-row work; a no-op when it is already split finely enough."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
