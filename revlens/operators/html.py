@@ -52,6 +52,12 @@ class FieldSpec:
         return T.IntegerType() if self.kind == "count" else T.StringType()
 
 
+def _frame(items: list[dict], names: Sequence[str]) -> pd.DataFrame:
+    """Columns as object arrays, so an all-missing text column stays None
+    (pandas would turn it into float NaN, which Arrow will not read as text)."""
+    return pd.DataFrame({n: pd.Series([it.get(n) for it in items], dtype=object) for n in names})
+
+
 def _out_schema(df: DataFrame, keep: Sequence[str], fields: Sequence[FieldSpec], record_no: bool) -> T.StructType:
     cols = [df.schema[c] for c in keep]
     if record_no:
@@ -100,7 +106,8 @@ def extract_records(
                     except Exception as exc:  # noqa: BLE001 - quarantined per record
                         item["_error"] = f"{type(exc).__name__}: {exc}"
                     out.append(item)
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+            if out:
+                yield _frame(out, [f.name for f in schema.fields])
 
     return spread(df.select(*keep, html_col)).mapInPandas(run, schema)
 
@@ -183,6 +190,7 @@ def extract_reviews(
                     except Exception as exc:  # noqa: BLE001 - quarantined per record
                         item["_error"] = f"{type(exc).__name__}: {exc}"
                     out.append(item)
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield _frame(out, names)
 
     return spread(pages.select(*keep, html_col)).mapInPandas(run, schema)
