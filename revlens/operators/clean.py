@@ -55,8 +55,10 @@ class CleanSpec:
 
 
 def normalise_na(df: DataFrame, cols: Sequence[str] | None = None, tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """NA tokens -> NULL for string columns (what pandas does on CSV read)."""
-    cols = cols if cols is not None else [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    """NA tokens -> NULL for string columns (what pandas does on CSV read).
+    Columns of other types are left alone."""
+    strings = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    cols = [c for c in (cols if cols is not None else strings) if c in strings]
     return df.select(*[null_na_tokens(c, tokens).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
