@@ -47,8 +47,34 @@ def get_session(master: str | None = None, app: str = "revlens", shuffle_partiti
     return ensure_checkpoint_dir(spark)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make ``revlens`` importable in Python workers (pandas UDFs refer to its
+    functions by module): zip the package once per SparkContext and add it
+    with ``addPyFile``, as ``--py-files`` would."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="revlens-code-"), "revlens.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only if unset."""
+    ship_code(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -71,4 +97,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop file system of ``path`` (works for
+    local, HDFS and object-store paths alike)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
