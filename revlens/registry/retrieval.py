@@ -200,8 +200,8 @@ WITH {_CENTROIDS},
 q AS (SELECT label AS query_id, centroid, CASE WHEN label IN ({_SUP_LABELS}) THEN label END AS filter_entity FROM cent),
 s AS (SELECT q.query_id, e.vec_id, {_cos('q.centroid', 'e.embedding::DOUBLE[]')} AS score
       FROM q JOIN embeddings e ON e.label = q.filter_entity)
-SELECT query_id, rank, vec_id, round(score, 6) AS score
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(round(score, 10), 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS INTEGER) AS rank FROM s)
 WHERE rank <= {TOP_K}
 """
 
@@ -243,8 +243,8 @@ cent AS (
 q AS (SELECT label * 10 + CASE WHEN polarity = 'pos' THEN 1 ELSE 0 END AS query_id, centroid, label, polarity FROM cent),
 s AS (SELECT q.query_id, e.vec_id, {_cos('q.centroid', 'e.v')} AS score
       FROM q JOIN e ON e.label = q.label AND e.polarity = q.polarity)
-SELECT query_id, rank, vec_id, round(score, 6) AS score
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(round(score, 10), 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS INTEGER) AS rank FROM s)
 WHERE rank <= {TOP_K}
 """
 
@@ -285,7 +285,7 @@ s AS (SELECT q.query_id, d.doc_id, sum(qv.weight * dv.weight) AS score
       JOIN q ON q.query_id = qv.query_id
       JOIN documents d ON d.doc_id = dv.doc_id AND d.lang = q.filter_entity
       GROUP BY ALL),
-r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+r AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) AS INTEGER) AS rank
                      FROM s) WHERE rank <= {TOP_K}),
 ctx AS (SELECT r.query_id, string_agg(d.text, chr(10) ORDER BY r.rank) AS context, CAST(count(*) AS INTEGER) AS n_context
         FROM r JOIN documents d USING (doc_id) GROUP BY r.query_id)
@@ -328,7 +328,7 @@ ORACLES = {
     "index_dim_check": _DIM_CHECK,
     "hash_embed": _HASH_EMBED,
     "embed_rejects": _REJECTS,
-    "text_search": _TEXT_BASE + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r",
+    "text_search": _TEXT_BASE + "SELECT query_id, rank, doc_id, round(round(score, 10), 6) AS score FROM r",
     "prompt_context": _TEXT_BASE + "SELECT query_id, n_context, context FROM ctx",
     "build_prompt": _prompt_sql(),
     "question_status": _TEXT_BASE + """
