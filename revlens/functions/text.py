@@ -17,6 +17,10 @@ PY_SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 STRIP_PATTERN = rf"\A{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\z"
+PY_SPACE_CHARS = "".join(
+    chr(c) for c in [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 # The strings pandas' CSV reader turns into missing values by
 # default (pandas >= 2).  Lower-case "na" is deliberately not one of them.
@@ -34,10 +38,11 @@ def _col(c) -> Column:
 def py_strip(c) -> Column:
     """Python ``str.strip()``: drop leading/trailing Unicode white space.
 
-    ``F.trim`` only removes the space character, so a leading newline or a
-    no-break space would survive it.
+    ``F.trim`` without a character set only removes the space character, so a
+    leading newline or a no-break space would survive it; ``btrim`` with
+    Python's white-space set does the job without a regex.
     """
-    return F.regexp_replace(_col(c), STRIP_PATTERN, "")
+    return F.btrim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
 def null_na_tokens(c, tokens=NA_TOKENS) -> Column:

@@ -11,6 +11,7 @@ from revlens.functions.casts import (
 from revlens.functions.text import NA_TOKENS, null_na_tokens, py_strip, replace_values, split_flag_body
 from revlens.operators.clean import drop_missing, impute_mean_by_group, metadata_struct
 from revlens.operators.embed import batch_numbers
+from revlens.operators.joins import spread
 from revlens.operators.ordered import with_row_index
 from revlens.operators.stats import file_stats, union_by_name
 from revlens.registry.common import sql_list, sql_str, sql_strip
@@ -105,14 +106,14 @@ def q_mean_impute_by_group(spark, sf_dir):
 
 
 def q_strip_text(spark, sf_dir):
-    d = load_table(spark, sf_dir, "documents")
+    d = spread(load_table(spark, sf_dir, "documents"))
     padded = F.concat(F.lit("\n \u00a0"), F.col("text"), F.lit("\t\u3000 "))
     s = py_strip(padded)
     return d.select("doc_id", s.alias("stripped"), F.length(s).alias("n_stripped"))
 
 
 def q_split_flag_body(spark, sf_dir):
-    d = load_table(spark, sf_dir, "documents")
+    d = spread(load_table(spark, sf_dir, "documents"))
     raw = d.select("doc_id", F.lit("raw").alias("variant"), F.col("text").alias("t"))
     tagged = d.select("doc_id", F.lit("tagged").alias("variant"), F.concat_ws(" | ", "lang", "text").alias("t"))
     both = raw.unionByName(tagged)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.operators.joins import spread
 from revlens.operators.ordered import with_row_index
 from revlens.operators.understand import extract_vocab, parse_model_json, unsupported, validate
 from revlens.registry.common import sql_str, sql_strip, sql_vocab_match
@@ -33,7 +34,7 @@ def q_vocab_extract(spark, sf_dir):
 
 
 def _fence_variants(spark, sf_dir) -> DataFrame:
-    e = load_table(spark, sf_dir, "events")
+    e = spread(load_table(spark, sf_dir, "events"))
     raw = (
         F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
         .when(F.col("event_type") == "view", F.concat(F.lit("```\n"), F.col("props"), F.lit("\n```")))
