@@ -9,10 +9,13 @@ Two physical forms for the order-dependent steps:
 
 * ``strategy="window"``: ``lag`` / running ``count`` over a window partitioned
   by conversation - one shuffle, but one task per conversation;
-* ``strategy="ranged"`` (default): ranks from range-partitioned global
-  numbering (:mod:`revlens.operators.ordered`) and the gaps-and-islands
-  identity, so a conversation holding a large share of all rows is spread
-  over many tasks; only partial aggregates and equi-joins follow.
+* ``strategy="ranged"``: ranks from range-partitioned global numbering
+  (:mod:`revlens.operators.ordered`) and the gaps-and-islands identity, so a
+  conversation holding a large share of all rows is spread over many tasks;
+  only partial aggregates and equi-joins follow.
+* ``strategy="auto"`` (default): measure the largest key first (a partial
+  count per key, one number to the driver) and use the window form only when
+  every key stays below ``max_window_rows``.
 """
 
 from __future__ import annotations
@@ -33,6 +36,19 @@ def ordered_concat(text_col: str, order_cols: Sequence[str], sep: str = "") -> C
     return F.array_join(F.transform(pairs, lambda x: x["t"]), sep)
 
 
+MAX_WINDOW_ROWS = 2_000_000
+
+
+def choose_strategy(df: DataFrame, key_cols: Sequence[str], strategy: str,
+                    max_window_rows: int = MAX_WINDOW_ROWS) -> str:
+    """Resolve ``auto``: ``window`` when the largest key has at most
+    ``max_window_rows`` rows, else ``ranged``."""
+    if strategy != "auto":
+        return strategy
+    largest = df.groupBy(*key_cols).count().agg(F.max("count")).first()[0]
+    return "window" if (largest or 0) <= max_window_rows else "ranged"
+
+
 def _ranks(df: DataFrame, key_cols, order_cols, class_col: str | None, strategy: str) -> DataFrame:
     """Add ``_rn`` (rank in key order) and, with ``class_col``, ``_rc`` (rank
     among rows of the same class within the key)."""
@@ -57,7 +73,7 @@ def fold_runs(
     type_col: str,
     aggs: Sequence[Column],
     always_new: Sequence[str] = (),
-    strategy: str = "ranged",
+    strategy: str = "auto",
     msg_col: str = "msg_no",
 ) -> DataFrame:
     """Merge consecutive rows of the same type into one message per run.
@@ -67,6 +83,7 @@ def fold_runs(
     ``msg_no`` counts messages from 0 within the key.
     """
     key_cols = list(key_cols)
+    strategy = choose_strategy(df, key_cols, strategy)
     ranked = _ranks(df, key_cols, order_cols, type_col, strategy)
     single = F.col(type_col).isin(list(always_new)) if always_new else F.lit(False)
     # Within a run of one type both ranks grow by one per row, so their
@@ -91,7 +108,7 @@ def response_status(
     end_kind: str,
     error_kind: str,
     aggs: Sequence[Column] = (),
-    strategy: str = "ranged",
+    strategy: str = "auto",
 ) -> DataFrame:
     """One row per response: ``key_cols, response_no, status, n_chunks`` + aggs.
 
@@ -101,6 +118,7 @@ def response_status(
     rows are not chunks.
     """
     key_cols = list(key_cols)
+    strategy = choose_strategy(df, key_cols, strategy)
     is_marker = F.col(kind_col).isin([end_kind, error_kind])
     marked = df.withColumn("_marker", is_marker)
     ranked = _ranks(marked, key_cols, order_cols, "_marker", strategy)

@@ -76,7 +76,7 @@ def q_transcript_fold(spark, sf_dir):
     ).select("conv_id", "turn", "role", F.posexplode("parts").alias("part_no", "text"))
     chunks = non_empty(chunks.withColumn("type", F.when(F.col("role") == "user", "user").otherwise("ai")), "text")
     aggs = [F.count(F.lit(1)).alias("n_chunks"), ordered_concat("text", ["turn", "part_no"], "").alias("content")]
-    msgs = fold_runs(chunks, ["conv_id"], ["turn", "part_no"], "type", aggs, ["user"])
+    msgs = fold_runs(chunks, ["conv_id"], ["turn", "part_no"], "type", aggs, ["user"], strategy="auto")
     return msgs.select("conv_id", F.col("msg_no").cast("int"), "type", "n_chunks", "content")
 
 

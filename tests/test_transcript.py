@@ -35,7 +35,7 @@ def _messages(df, strategy):
     return sorted((r.conv_id, r.msg_no, r.type, r.content) for r in out.collect())
 
 
-@pytest.mark.parametrize("strategy", ["ranged", "window"])
+@pytest.mark.parametrize("strategy", ["ranged", "window", "auto"])
 def test_fold(spark, strategy):
     df = _df(spark)
     df = after_last(df, ["conv_id"], ["seq"], F.col("kind") == "clear")
