@@ -78,3 +78,32 @@ def test_vocab_match_earliest_then_longest(spark):
     vocab = ["red widget", "widget", ("blue", "Blue")]
     vals = ["a red widget", "widget red widget", "BLUE and red widget", "widgets", None]
     assert _one(spark, vals, lambda c: vocab_match(c, vocab)) == ["red widget", "widget", "Blue", None, None]
+
+
+def test_extract_with_model(spark):
+    from revlens.operators.understand import extract_with_model
+
+    def make_model():
+        def gen(prompts):
+            out = []
+            for p in prompts:
+                if "boom" in p:
+                    raise RuntimeError("model down")
+                if "Emirates" in p:
+                    out.append('```json\n{"airline": "Emirates", "aspect": "food"}\n```')
+                elif "Qantas" in p:
+                    out.append('{"airline": "Qantas"}')
+                else:
+                    out.append("Sorry, no JSON here")
+            return out
+        return gen
+
+    qs = spark.createDataFrame([(1, "food on Emirates?"), (2, "Qantas seats"), (3, "hello"), (4, "boom")],
+                               "qid long, text string")
+    res = extract_with_model(qs, "text", make_model, "airline string, aspect string",
+                             "Extract fields as JSON from: {question}", supported=["Emirates", "ANA"],
+                             field="airline")
+    got = {r.qid: (r.params.airline if r.params else None, r.filter_entity, r.generate_error is not None)
+           for r in res.collect()}
+    assert got == {1: ("Emirates", "Emirates", False), 2: ("Qantas", None, False), 3: (None, None, False),
+                   4: (None, None, True)}

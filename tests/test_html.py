@@ -53,3 +53,19 @@ def test_stop_at_first_failure(spark):
         "entity string, page int, ok boolean")
     kept = stop_at_first_failure(df, ["entity"], ["page"], ~F.col("ok"))
     assert sorted((r.entity, r.page) for r in kept.collect()) == [("E", 1), ("E", 2), ("E", 3), ("Q", 1)]
+
+
+def test_read_pages_from_folder(spark):
+    import os
+
+    from revlens.session import scratch_path
+    from revlens.sources.pages import read_pages
+
+    folder = scratch_path(spark, "t-pages")
+    os.makedirs(folder.replace("file:", ""), exist_ok=True)
+    for name, html in [("a.html", PAGE_TWO), ("b.html", PAGE_EMPTY)]:
+        with open(os.path.join(folder.replace("file:", ""), name), "w", encoding="utf-8") as fh:
+            fh.write(html)
+    pages = read_pages(spark, folder, fmt="html").withColumn("entity", F.lit("Emirates"))
+    assert pages.count() == 2
+    assert extract_reviews(pages).count() == 2
