@@ -23,9 +23,13 @@ from revlens.session import ensure_checkpoint_dir
 
 
 def _n_partitions(df: DataFrame, n: int | None) -> int:
+    """Range count: at least the shuffle partitions and at least the input's
+    own split count, so one range stays about one input split in size (the
+    count table that is prefix-summed has one row per range)."""
     if n:
         return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, df.rdd.getNumPartitions())
 
 
 def with_row_index(
