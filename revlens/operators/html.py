@@ -29,7 +29,8 @@ from revlens.operators.joins import spread
 @dataclass(frozen=True)
 class FieldSpec:
     """``kind``: ``text`` (first match's text, NULL if none), ``count``
-    (number of matches), or ``attr:<name>`` (attribute of the first match)."""
+    (number of matches), ``attr:<name>`` (attribute of the first match), or
+    ``self`` (the record element's own text; ``tag`` is ignored)."""
 
     name: str
     tag: str | None
@@ -37,6 +38,8 @@ class FieldSpec:
     kind: str = "text"
 
     def value(self, node: Node):
+        if self.kind == "self":
+            return node.text()
         if self.kind == "count":
             return len(node.find_all(self.tag, self.attrs))
         hit = node.find(self.tag, self.attrs)

@@ -34,9 +34,10 @@ def test_generic_records_and_counts(spark):
     pages = spark.createDataFrame(
         [(1, '<ul><li><a href="/a">A &amp; B</a><li>plain</ul><p>x<p>y<script>var t="</p>";</script>')],
         "page_id long, html string")
-    recs = extract_records(pages, "html", "li", [FieldSpec("href", "a", kind="attr:href"), FieldSpec("t", "a")],
-                           keep=["page_id"]).collect()
-    assert [(r["record_no"], r["href"], r["t"]) for r in recs] == [(0, "/a", "A & B"), (1, None, None)]
+    recs = extract_records(pages, "html", "li", [FieldSpec("href", "a", kind="attr:href"), FieldSpec("t", "a"),
+                                                  FieldSpec("own", None, kind="self")], keep=["page_id"]).collect()
+    assert [(r["record_no"], r["href"], r["t"], r["own"]) for r in recs] == [
+        (0, "/a", "A & B", "A & B"), (1, None, None, "plain")]
     counts = extract_records(pages, "html", None, [FieldSpec("n_p", "p", kind="count")], keep=["page_id"]).first()
     assert counts["n_p"] == 2
 
