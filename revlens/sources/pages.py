@@ -24,11 +24,18 @@ def page_plan(seeds: DataFrame, entity_col: str, base_url_col: str, max_pages: i
                                           F.lit("/")).alias("url"))
 
 
-def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read landed pages: a Parquet/ORC table of ``page_id, url, html`` or a
-    folder of HTML files (one page per file, path as url)."""
+def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", charset: str = "UTF-8") -> DataFrame:
+    """Read landed pages: a Parquet/ORC table of ``page_id, url, html``, a
+    folder of HTML files (``fmt="html"``, one page per file, path as url), or
+    raw files decoded with ``charset`` (``fmt="binary"``)."""
     if fmt in ("parquet", "orc"):
         return spark.read.format(fmt).load(path)
+    if fmt == "binary":
+        raw = spark.read.format("binaryFile").load(path)
+        return raw.select(
+            F.col("path").alias("url"), F.decode("content", charset).alias("html"),
+            F.xxhash64("path").alias("page_id"),
+        )
     files = spark.read.text(path, wholetext=True)
     return files.select(
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")

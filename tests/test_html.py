@@ -70,3 +70,5 @@ def test_read_pages_from_folder(spark):
     pages = read_pages(spark, folder, fmt="html").withColumn("entity", F.lit("Emirates"))
     assert pages.count() == 2
     assert extract_reviews(pages).count() == 2
+    raw = read_pages(spark, folder, fmt="binary").withColumn("entity", F.lit("Emirates"))
+    assert sorted(r.html for r in raw.collect()) == sorted([PAGE_TWO, PAGE_EMPTY])
