@@ -80,7 +80,8 @@ def fold_runs(
 
     Rows whose type is in ``always_new`` each start their own message (user
     turns).  Returns ``key_cols, msg_no, type`` and ``aggs`` per message;
-    ``msg_no`` counts messages from 0 within the key.
+    ``msg_no`` counts messages from 0 within the key.  Select only the
+    columns the aggregates need first: the ranged form checkpoints its input.
     """
     key_cols = list(key_cols)
     strategy = choose_strategy(df, key_cols, strategy)

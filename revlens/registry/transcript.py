@@ -15,7 +15,8 @@ FLUSH_WINDOW = "1 hour"
 
 
 def _event_runs(spark, sf_dir, strategy):
-    e = load_table(spark, sf_dir, "events")
+    # project first: an eager checkpoint in the ranged form keeps every column
+    e = load_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     pos = F.struct("ts", "event_id")
     aggs = [
         F.count(F.lit(1)).alias("n_events"),
@@ -37,7 +38,7 @@ def q_fold_runs_window(spark, sf_dir):
 
 
 def _status(spark, sf_dir, strategy):
-    e = load_table(spark, sf_dir, "events")
+    e = load_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
     s = response_status(e, ["user_id"], ["ts", "event_id"], "event_type", END_KIND, ERROR_KIND, strategy=strategy)
     return s.select("user_id", F.col("response_no").cast("int"), "status", "n_chunks")
 
