@@ -70,3 +70,39 @@ def fold_chunks_stream(
         "append",
         GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
     )
+
+
+def _tag_group(end_kinds: tuple[str, ...], timeout_ms: int | None):
+    def tag(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (done,) = state.get if state.exists else (0,)
+        chunks = [p for p in pdfs if len(p)]
+        if not chunks:
+            return
+        pdf = pd.concat(chunks, ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
+        marker = pdf["kind"].isin(list(end_kinds)).to_numpy()
+        # response number = end markers seen before the row (a marker closes its own response)
+        before = done + (marker.cumsum() - marker)
+        state.update((int(done + marker.sum()),))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+        yield pdf.assign(response_no=before.astype("int64"))[["key", "seq", "kind", "response_no"]]
+
+    return tag
+
+
+def tag_responses_stream(
+    events: DataFrame, end_kinds=("end", "error_end"), timeout_ms: int | None = None,
+) -> DataFrame:
+    """``events``: streaming ``key, ts, seq, kind``; returns each event with
+    its ``response_no`` (append mode).  State per key is one counter; the
+    status of a response is an aggregate of its tagged rows downstream."""
+    return events.groupBy("key").applyInPandasWithState(
+        _tag_group(tuple(end_kinds), timeout_ms),
+        "key long, seq long, kind string, response_no long",
+        "done long",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
+    )

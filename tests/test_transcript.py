@@ -80,3 +80,24 @@ def test_stream_fold_equals_batch(spark):
         F.first("type").alias("type"), ordered_concat("text", ["seq"]).alias("content"))
     assert sorted((r.conv_id, r.msg_no, r.type, r.content) for r in got.collect()) == [
         (1, 0, "user", "hi"), (1, 1, "ai", "abc"), (1, 2, "user", "q2"), (1, 3, "user", "q3"), (1, 4, "ai", "  ")]
+
+
+def test_stream_status_equals_batch(spark):
+    from revlens.streaming.fold_stream import tag_responses_stream
+
+    rows = [(c, s, k) for c, s, k, _ in STREAM if c in (1, 2)]
+    df = spark.createDataFrame(rows, "key long, seq long, kind string").withColumn(
+        "ts", F.timestamp_seconds(F.col("seq")))
+    src = scratch_path(spark, "t-events")
+    df.where("seq <= 4").coalesce(1).write.parquet(src)
+    df.where("seq > 4").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    sink = scratch_path(spark, "t-tagged")
+    q = (tag_responses_stream(stream).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", scratch_path(spark, "t-tagged-ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted((r.key, r.seq, r.response_no) for r in spark.read.parquet(sink).collect())
+    want = {(1, s): n for s, n in [(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2), (8, 2), (9, 2), (10, 2)]}
+    want.update({(2, s): 0 for s in (1, 2, 3, 4)})
+    want[(2, 5)] = 1
+    assert got == sorted((k, s, n) for (k, s), n in want.items())
