@@ -44,6 +44,13 @@ def start_flush_stream(
     ids = [*key_cols, "window_start"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # used by several actions below; recomputable from the source
+        try:
+            _merge(batch)
+        finally:
+            batch.unpersist()
+
+    def _merge(batch: DataFrame) -> None:
         if batch.isEmpty():
             return
         upd = batch.withColumn("day", F.to_date("window_start"))

@@ -22,10 +22,14 @@ def start_index_stream(
     entity_col: str, meta_cols: Sequence[str] = (), dim: int = DEFAULT_DIM, available_now: bool = True,
 ) -> StreamingQuery:
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():  # e.g. an empty source file: nothing to merge
-            return
-        build_index(spark, batch, path, id_col=id_col, text_col=text_col, entity_col=entity_col,
-                    meta_cols=meta_cols, dim=dim)
+        batch = batch.persist()  # read by the emptiness check and the merge
+        try:
+            if batch.isEmpty():  # e.g. an empty source file: nothing to merge
+                return
+            build_index(spark, batch, path, id_col=id_col, text_col=text_col, entity_col=entity_col,
+                        meta_cols=meta_cols, dim=dim)
+        finally:
+            batch.unpersist()
 
     w = docs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_path)
     if available_now:
