@@ -101,3 +101,24 @@ def test_stream_status_equals_batch(spark):
     want.update({(2, s): 0 for s in (1, 2, 3, 4)})
     want[(2, 5)] = 1
     assert got == sorted((k, s, n) for (k, s), n in want.items())
+
+
+def test_flush_stream_equals_batch(spark):
+    from revlens.streaming.flush_stream import start_flush_stream, windowed_concat
+
+    rows = [(1, "2024-01-01 00:00:10", "a", 1), (1, "2024-01-01 00:00:50", "b", 2), (1, "2024-01-01 00:01:05", "c", 3),
+            (2, "2024-01-01 00:00:30", "x", 4), (1, "2024-01-01 00:00:55", "d", 5), (1, "2024-01-01 00:03:00", "e", 6)]
+    df = spark.createDataFrame(rows, "conv_id long, ts string, text string, seq long").withColumn(
+        "ts", F.to_timestamp("ts"))
+    src = scratch_path(spark, "t-flush-src")
+    df.where("seq <= 3").coalesce(1).write.parquet(src)
+    df.where("seq > 3").coalesce(1).write.mode("append").parquet(src)  # later batch updates an open window
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    windows = windowed_concat(stream, ["conv_id"], "ts", "text", ["ts", "seq"], "1 minute", "5 minutes")
+    path = scratch_path(spark, "t-flush")
+    q = start_flush_stream(spark, windows, ["conv_id"], path, scratch_path(spark, "t-flush-ck"))
+    q.awaitTermination(120)
+    got = sorted((r.conv_id, r.n_chunks, r.content) for r in spark.read.parquet(path).collect())
+    batch = tumbling_concat(df, ["conv_id"], "ts", "text", ["ts", "seq"], "1 minute")
+    assert got == sorted((r.conv_id, r.n_chunks, r.content) for r in batch.collect())
+    assert (1, 3, "abd") in got
