@@ -87,8 +87,14 @@ QUERIES = {
 
 
 def _unescape(x: str) -> str:
-    return (f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), "
-            f"'&amp;', '&')")
+    """HTML5 decoding of the only entities in these pages; like the HTML
+    parser, the legacy names also decode without their semicolon.  One
+    regex pass per name, ``amp`` last, so a decoded ``&`` never starts a new
+    entity."""
+    out = x
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        out = f"regexp_replace({out}, '&{name};?', '{char}', 'g')"
+    return out
 
 
 def _first(tag: str) -> str:
