@@ -127,9 +127,10 @@ def table(schema: str, rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(list(c), to[k]) for n, k, c in zip(names, kinds, cols)})
 
 
-def sends(block: int, n: int, names: np.ndarray, *more: np.ndarray) -> pa.Table:
-    """A block's distinct items, sorted by their hash, as packed rows by range; ``more`` has arrays along them."""
-    return table(SENT, [(i, block, a, dump(names[a:b], *(m[a:b] for m in more))) for i, a, b in cut(names, n)])
+def sends(block: int, n: int, names: np.ndarray, *more: np.ndarray, beside: Callable[[int, int], list] | None = None) -> pa.Table:
+    """A block's distinct items, sorted by their hash, as packed rows by range; ``more`` has arrays
+    along them, ``beside(a, b)`` gives further ones for items a to b (bytes of strings)."""
+    return table(SENT, [(i, block, a, dump(names[a:b], *(m[a:b] for m in more), *(beside(a, b) if beside else ()))) for i, a, b in cut(names, n)])
 
 
 def each_block(blocks: DataFrame, fn: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:

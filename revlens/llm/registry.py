@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import substring_dedup
+from revlens.llm import bpe, decontaminate, substring_dedup, suffix_dedup
 from revlens.session import load_table
 
 
@@ -12,5 +12,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(load_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup,)}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(load_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(load_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op7_decontaminate, op8_bpe)}
 ORACLE: dict[str, str] = {}
