@@ -52,6 +52,33 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
+def hash_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint64, chunk: int = 1 << 19) -> np.ndarray:
+    """``span_hash`` of many spans, a stretch of values at a time (numbers of the stretch's length are held, not of all)."""
+    out = np.empty(len(start), U)
+    if len(start) > 1 and (start[1:] < start[:-1]).any():
+        order = np.argsort(start, kind="stable")
+        out[order] = hash_spans(values, start[order], end[order], p, chunk)
+        return out
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = int(np.searchsorted(start, base + chunk))
+        prefix = prefix_hash(values[base : end[i:j].max()], p)
+        out[i:j] = span_hash(prefix, start[i:j] - base, end[i:j] - base, p)
+        i = j
+    return out
+
+
+def row_groups(off: np.ndarray, size: int = 1 << 19) -> list[tuple[int, int]]:
+    """Rows a to b of about ``size`` bytes each; a longer row is alone with those before it."""
+    out, a = [], 0
+    while a < len(off) - 1:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def byte_table(inside) -> np.ndarray:
     table = np.zeros(256, bool)
     for b in range(256):
@@ -91,6 +118,9 @@ class Texts:
         buf = np.frombuffer(b, np.uint8)[off[0] : off[-1]] if b is not None else np.zeros(0, np.uint8)
         return Texts(buf, off - off[0])
 
+    def rows(self, a: int, b: int) -> Texts:
+        return Texts(self.buf[self.off[a] : self.off[b]], self.off[a : b + 1] - self.off[a])
+
     def lowered(self) -> Texts:
         return Texts(LOWER[self.buf], self.off)
 
@@ -130,7 +160,7 @@ def words_of(t: Texts, table: np.ndarray) -> Words:
 
 
 def word_hash(t: Texts, w: Words) -> np.ndarray:
-    return span_hash(prefix_hash(t.buf, P_BYTE), w.start, w.end, P_BYTE)
+    return hash_spans(t.buf, w.start, w.end, P_BYTE)
 
 
 def kept_texts(t: Texts, w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

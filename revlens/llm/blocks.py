@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 SENT = "bucket int, block long, start long, body binary"
 ANSWER = "block long, kind int, start long, body binary"
 _ZSTD = pa.Codec("zstd", 1)
@@ -113,6 +113,20 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
     return docs.mapInArrow(fn, "block long, payload binary").repartition(parts(docs.sparkSession), "block")
 
 
+def slices(batches: Iterator[pa.RecordBatch], text_col: str, size: int = BLOCK_BYTES // 2) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``size`` bytes of text; a longer text is alone."""
+    for b in batches:
+        lengths = np.asarray(pc.binary_length(b.column(b.schema.get_field_index(text_col))).fill_null(0), np.int64)
+        first, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            held += n
+            if held >= size:
+                yield b.slice(first, i + 1 - first)
+                first, held = i + 1, 0
+        if first < b.num_rows:
+            yield b.slice(first)
+
+
 def cut(names: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
     """(range, from, to) of sorted hashes, for n equal ranges of 64-bit numbers."""
     edges = np.array([(i << 64) // n for i in range(1, n)], U)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import P_BYTE, Texts, prefix_hash, span_hash
+from revlens.llm.arrays import P_BYTE, Texts, hash_spans
 
 SPACE, LETTER, NUMBER, OTHER, UNASSIGNED = 0, 1, 2, 3, 4
 #: White space of Unicode.
@@ -116,7 +116,7 @@ def split_words(t: Texts, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
 def _words(t: Texts, added: list[bytes]):
     """Distinct words of a block (hash, starts, ends), the word at each place, and rows' first words."""
     start, end, first = split_words(t, added)
-    name = span_hash(prefix_hash(t.buf, P_BYTE), start, end, P_BYTE)
+    name = hash_spans(t.buf, start, end, P_BYTE)
     names, one, index = np.unique(name, return_index=True, return_inverse=True)
     return names, start[one], end[one], index, first
 

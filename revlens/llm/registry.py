@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, substring_dedup, suffix_dedup
+from revlens.llm import bpe, decontaminate, jaccard, quality, substring_dedup, suffix_dedup
 from revlens.session import load_table
 
 
@@ -16,6 +16,14 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(load_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(load_table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(load_table(spark, sf_dir, "documents")).drop("node")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
 
@@ -24,5 +32,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op7_decontaminate, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op4_quality, op6_jaccard_join, op7_decontaminate, op8_bpe)}
 ORACLE: dict[str, str] = {}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import PLAIN, P_WORD, P_WORD2, Texts, U, Words, kept_texts, mix, powers, prefix_hash, run_starts, shas, span_hash, spread, strings, word_hash, words_of
+from revlens.llm.arrays import PLAIN, P_WORD, P_WORD2, U, Texts, Words, hash_spans, kept_texts, mix, run_starts, shas, spread, strings, word_hash, words_of
 
 WIDTH = 20
 #: Rounds of pairs.  A top symbol has about (4/3)**5 = 4 words, and a window of 20 nearly always holds one whole.
@@ -91,8 +91,8 @@ def _windows(w: Words, h: np.ndarray, ids: np.ndarray, width: int, shared: np.nd
     start = np.maximum(hi[once] - width, 0)
     dead = spread(n, start, np.maximum(np.minimum(lo[once] + 1, n), start)) if n else whole
     at = np.flatnonzero(whole & ~dead)
-    a = span_hash(prefix_hash(h, P_WORD), at, at + width, P_WORD)
-    b = (span_hash(prefix_hash(h, P_WORD2), at, at + width, P_WORD2) >> U(32)).astype(np.uint32)
+    a = hash_spans(h, at, at + width, P_WORD)
+    b = (hash_spans(h, at, at + width, P_WORD2) >> U(32)).astype(np.uint32)
     order = np.lexsort((at, ids[w.doc[at]], b, a))
     at, a, b = at[order], a[order], b[order]
     heads = run_starts(a, b)
