@@ -11,11 +11,11 @@ similarity is at least ``similarity`` percent; the result is each document's con
    share one), the class, its size and the shingle's position.  A list is sorted by size and cut into
    blocks that carry the most that can still follow a position; a set skips whole blocks by size and
    by position.
-4. Answers are derived from those of similar sets: the first pass joins each list's sets with a few
-   centres only.  A set linked to a centre has the centre's component, so that pairs in one component
-   are never asked for again; the second pass asks for the pairs of a list that are still apart, and
-   the verified ones complete the components.  Every link between different texts is thus either
-   verified or implied; nothing is capped.
+4. Answers are derived from those of similar sets: the first passes join each list's sets with one
+   other only, a centre and then one of the list's largest component.  A set linked to it has its
+   component, so that pairs in one component are never asked for again; the last pass asks for all
+   pairs of a list that are still apart, and the verified ones complete the components.  Every link
+   between different texts is thus either verified or implied; nothing is capped.
 
 Defined cases: a null text or one without words has no set and is its own component; with fewer words
 than a shingle the whole sequence is one shingle; rows that share a number are separate documents
@@ -146,10 +146,12 @@ def _lists(t: pa.Table):
         cols.append((s, pos.astype(np.int64), who.astype(np.int64) + at, n.astype(np.int64), node.reshape(-1, 2), part.reshape(-1, 2)))
         at += len(n)
     s, pos, who, n, node, part = (np.concatenate(c) for c in zip(*cols))
+    label = np.unique(part.view([("a", U), ("b", U)]).reshape(-1), return_inverse=True)[1]
     order = np.lexsort((node[who, 0], n[who], s))
     s, pos, who = s[order], pos[order], who[order]
-    first = np.flatnonzero(run_starts(s))
-    return pos, who, n, node, part, np.append(first, len(s))
+    first = np.append(np.flatnonzero(run_starts(s)), len(s))
+    open_lists = [(a, z) for a, z in zip(first[:-1].tolist(), first[1:].tolist()) if z - a > 1 and (label[who[a:z]] != label[who[a]]).any()]
+    return s, pos, who, n, node, label, open_lists
 
 
 def _needed(a, b, similarity):
@@ -168,19 +170,46 @@ def _pairs(found: list[np.ndarray], node: np.ndarray) -> pa.Table:
 
 
 def _centre_pairs(similarity: int):
-    """Each set of a list with a centre: the smallest set that no earlier centre of the list can link."""
+    """Each set of a list with a centre: the smallest set, then the smallest of those whose size no
+    earlier centre can link."""
 
     def run(t: pa.Table) -> pa.Table:
-        pos, who, n, node, part, first = _lists(t)
+        shingle, pos, who, n, node, label, lists = _lists(t)
         found = []
-        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+        for a, z in lists:
             while z - a > 1:
-                size = n[who[a:z]]
-                near = int(np.searchsorted(size * similarity, size[0] * 100, "right"))
-                if near > 1:
-                    other = who[a + 1 : a + near]
-                    found.append(np.stack([np.full(near - 1, who[a]), other], 1))
-                a += near
+                near = a + int(np.searchsorted(n[who[a:z]] * similarity, n[who[a]] * 100, "right"))
+                other = who[a + 1 : near]
+                if len(other):
+                    found.append(np.stack([np.full(len(other), who[a]), other], 1))
+                a = near
+        return _pairs(found, node)
+
+    return run
+
+
+def _neighbour_pairs(similarity: int):
+    """Each set of a list that is not in the list's largest component with one set of that component
+    whose size can link, another one in every list: over its lists a set meets many of the component,
+    and one link is enough."""
+
+    def run(t: pa.Table) -> pa.Table:
+        shingle, pos, who, n, node, label, lists = _lists(t)
+        found = []
+        for a, z in lists:
+            w = who[a:z]
+            mark = label[w]
+            kinds, count = np.unique(mark, return_counts=True)
+            major = kinds[np.argmax(count)]
+            have, other = np.flatnonzero(mark == major), np.flatnonzero(mark != major)
+            size = n[w]  # ascending
+            low = np.searchsorted(size[have] * 100, size[other] * similarity)
+            high = np.searchsorted(size[have] * similarity, size[other] * 100, "right")
+            fits = high > low
+            turn = int(mix(shingle[a : a + 1])[0] >> U(33))
+            near = have[(low + (turn + np.arange(len(other))) % np.maximum(high - low, 1))[fits]]
+            if fits.any():
+                found.append(np.stack([w[near], w[other[fits]]], 1))
         return _pairs(found, node)
 
     return run
@@ -190,15 +219,11 @@ def _open_pairs(similarity: int):
     """The pairs of a list that are in different components and that size and position allow."""
 
     def run(t: pa.Table) -> pa.Table:
-        pos, who, n, node, part, first = _lists(t)
-        label = np.unique(part.view([("a", U), ("b", U)]).reshape(-1), return_inverse=True)[1]
+        shingle, pos, who, n, node, label, lists = _lists(t)
         found = []
-        for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+        for a, z in lists:
             w = who[a:z]
-            mark = label[w]
-            if z - a < 2 or (mark == mark[0]).all():
-                continue
-            size = n[w]
+            mark, size = label[w], n[w]
             left = size - pos[a:z]  # what can still agree, this shingle included
             blocks = np.maximum.reduceat(left, np.arange(0, z - a, SKIP))
             for i in range(z - a - 1):
@@ -238,39 +263,44 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(node, part) for every node of a link: part is the least node that it reaches.
 
-    Each round every edge (u, v), u > v, hangs u's other smaller neighbours and u on the least of
-    them, so that paths shrink geometrically; it ends when all edges point at their least node.
+    A round hangs a node's greater neighbours on its least neighbour, then its smaller ones, so that
+    paths shrink geometrically; it ends when the edges stay as they are.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    state = None
     while True:
-        # large star: every neighbour greater than u hangs on u's least neighbour
-        both = edges.select(F.col("u"), F.col("v")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: u and its smaller neighbours hang on the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         edges = small
-        if not changed:
+        if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("part"))).distinct()
+        state = now
 
 
-def _pair_up(classes: DataFrame, parts: DataFrame, fn, similarity: int) -> DataFrame:
-    known = classes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+def _pair_up(classes: DataFrame, links: DataFrame | None, fn, similarity: int) -> DataFrame:
+    """Distinct pairs that ``fn`` finds in the index lists, given the links so far."""
+    if links is None:
+        known = classes.withColumn("part", F.col("node"))
+    else:
+        known = classes.join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
     return _postings(known, similarity).groupBy("bucket").applyInArrow(fn(similarity), PAIRS).distinct()
 
 
 def joined(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the set's 128-bit name) of every document."""
-    spark = docs.sparkSession
     rows = _rows(B.pack(B.chosen(docs, "doc_id", "text")), width, similarity).checkpoint()
     classes = rows.where("rest is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("alone").alias("alone"), F.first("rest").alias("rest")).checkpoint()
-    none = spark.createDataFrame([], "node binary, part binary")
-    tried = _pair_up(classes, none, _centre_pairs, similarity).checkpoint()
+    tried = _pair_up(classes, None, _centre_pairs, similarity).checkpoint()
     links = _verified(tried, classes, similarity).checkpoint()
-    rest = _pair_up(classes, components(links), _open_pairs, similarity).join(tried, ["a", "b"], "left_anti")
-    parts = components(links.unionByName(_verified(rest, classes, similarity)))
+    for find in (_neighbour_pairs, _neighbour_pairs, _open_pairs):
+        more = _pair_up(classes, links, find, similarity).join(tried, ["a", "b"], "left_anti").checkpoint()
+        links = links.unionByName(_verified(more, classes, similarity)).checkpoint()
+        tried = tried.unionByName(more)
+    parts = components(links)
     # the smallest number of a component: first by set (copies), then by component
     by_set = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     by_set = by_set.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
