@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, jaccard, quality, substring_dedup, suffix_dedup
+from revlens.llm import bpe, decontaminate, jaccard, licenses, quality, rotate, substring_dedup, suffix_dedup, warc
 from revlens.session import load_table
 
 
@@ -20,6 +20,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(load_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).drop("text")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(load_table(spark, sf_dir, "documents")).drop("node")
 
@@ -32,5 +37,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(load_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op4_quality, op6_jaccard_join, op7_decontaminate, op8_bpe)}
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate.rotate(load_table(spark, sf_dir, "conversations"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(load_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
 ORACLE: dict[str, str] = {}
