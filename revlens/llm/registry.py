@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, jaccard, licenses, quality, rotate, substring_dedup, suffix_dedup, warc
+from revlens.llm import bpe, decontaminate, jaccard, licenses, maxent, quality, rotate, substring_dedup, suffix_dedup, warc
 from revlens.session import load_table
 
 
+def op1_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(load_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(load_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(load_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_maxent_score, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
 ORACLE: dict[str, str] = {}
