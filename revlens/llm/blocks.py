@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 3 << 20
 SENT = "bucket int, block long, start long, body binary"
@@ -43,7 +44,7 @@ def ranges(spark: SparkSession) -> int:
     return 3 * parts(spark)
 
 
-def dump(*arrays: np.ndarray) -> bytes:
+def dump(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed value; bytes of equal weight stand together, and sorted 64-bit
     numbers as differences, so that what is predictable costs little."""
     out = [np.array([len(arrays)], np.int32).tobytes()]
@@ -51,7 +52,7 @@ def dump(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         diff = a.dtype == U and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
         raw = (np.diff(a, prepend=a.dtype.type(0)) if diff else a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
-        packed = _ZSTD.compress(raw, asbytes=True) if raw else b""
+        packed = pa.Codec("zstd", level).compress(raw, asbytes=True) if raw else b""
         out += [np.array([len(a), len(packed), len(raw), diff], np.int64).tobytes(), a.dtype.str.ljust(8).encode(), packed]
     return b"".join(out)
 
@@ -187,12 +188,12 @@ def answers(marks: pa.Table, kind: int, n: int, dtype=bool) -> np.ndarray:
     return out
 
 
-def with_answers(blocks: DataFrame, marks: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def with_answers(blocks: DataFrame, marks: DataFrame, fn: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
     """``fn(block, rows, marks)`` for every block; a block without marks gets an empty table."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [fn(block, unpack(payload.as_py()), right) for block, payload in zip(left["block"].to_pylist(), left["payload"])]
-        return out[0] if out else table(schema, [])
+        (block,), (payload,) = left["block"].to_pylist(), left["payload"].to_pylist()
+        return fn(block, unpack(payload), right)
 
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
 

@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import P_BYTE, P_BYTE2, Texts, U, cut_bytes, mix, prefix_hash, run_starts, shas, span_hash
+from revlens.llm.arrays import P_BYTE, P_BYTE2, U, Texts, cut_bytes, hash_spans, mix, row_groups, run_starts, shas
 
 WIDTH = 50
 TRIGGER = 24
@@ -41,20 +42,16 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (n - k)], m[n - k :]) if n > k else m
 
 
-def parse(t: Texts, width: int, trigger: int):
-    """(trigger hash, phrase hash, row, first window, offset of the trigger in it, windows) of every phrase."""
+def _parse(t: Texts, width: int, trigger: int):
     n = len(t.buf)
-    none = np.zeros(0, np.int64)
     if n < width:
-        return none.astype(U), none.astype(U), none, none, none, none
+        return None
     at = np.arange(n - trigger + 1)
-    h = span_hash(prefix_hash(t.buf, P_BYTE), at, at + trigger, P_BYTE)
+    h = hash_spans(t.buf, at, at + trigger, P_BYTE)
     key = (h & U(0xFFFFFFFF00000000)) | at.astype(U)  # ties: the leftmost
     place = (_least(key, width - trigger + 1) & U(0xFFFFFFFF)).astype(np.int64)
-    del key, at
     whole = np.ones(n - width + 1, bool)
-    rows = np.flatnonzero(np.diff(t.off))
-    for back in t.off[1:][rows]:
+    for back in t.off[1:][np.diff(t.off) > 0].tolist():
         whole[max(back - width + 1, 0) : back] = False
     start = np.flatnonzero(whole)
     place = place[start]
@@ -62,21 +59,32 @@ def parse(t: Texts, width: int, trigger: int):
     first, place = start[heads], place[heads]
     count = np.diff(np.append(heads, len(start)))
     left = place - first
-    phrase = span_hash(prefix_hash(t.buf, P_BYTE2), first, first + count + width - 1, P_BYTE2)
+    phrase = hash_spans(t.buf, first, first + count + width - 1, P_BYTE2)
     row = np.searchsorted(t.off, first, "right") - 1
-    return h[place], mix(phrase + left.astype(U)), row, first, left, count
+    return h[place], mix(phrase + left.astype(U)), row, first, count
+
+
+def parse(t: Texts, width: int, trigger: int):
+    """(trigger hash, phrase hash, row, first window, windows) of every phrase; some rows at a time."""
+    none = np.zeros(0, np.int64)
+    out = [(none.astype(U), none.astype(U), none, none, none)]
+    for a, b in row_groups(t.off):
+        got = _parse(t.rows(a, b), width, trigger)
+        if got:
+            out.append((got[0], got[1], got[2] + a, got[3] + t.off[a], got[4]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _dictionary(t: Texts, ids: np.ndarray, width: int, trigger: int):
-    name, phrase, row, first, left, count = parse(t, width, trigger)
+    name, phrase, row, first, count = parse(t, width, trigger)
     order = np.lexsort((ids[row], phrase, name))
-    name, phrase, row, first, left, count = (x[order] for x in (name, phrase, row, first, left, count))
+    name, phrase, row, first, count = (x[order] for x in (name, phrase, row, first, count))
     heads = run_starts(name, phrase)
     entry = np.cumsum(heads) - 1
     one = np.flatnonzero(heads)
     least = ids[row[one]]
     later = ids[row] > least[entry]
-    return name[one], phrase[one], least, one, entry, later, first, left, count
+    return name[one], phrase[one], least, one, entry, later, first, count
 
 
 def _phrases(items, sender):
@@ -90,29 +98,49 @@ def _phrases(items, sender):
     return out
 
 
-def _suffixes(width: int):
-    def fn(items, sender):
-        name, ids, count, data = items
-        size = count.astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(size + width - 1)])
-        item = np.repeat(np.arange(len(name)), size)
+def _suffixes(width: int, at_once: int = 1 << 18):
+    def later(ids, size, data):
+        """For every string of a dictionary the bits of its suffixes that a smaller document has, too."""
+        item = np.repeat(np.arange(len(size)), size)
         j = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
-        start = at[item] + j
+        start = (np.cumsum(size + width - 1) - (size + width - 1))[item] + j
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
         word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").reshape(-1).astype(U)
-        keys = []
-        for k in range(0, width, 8):
+
+        def key(k):
             v = word[np.minimum(start + k, len(word) - 1)]
-            if k + 8 > width:
-                v = v >> U(8 * (k + 8 - width))
-            keys.append(v)
-        owner = ids[item]
-        order = np.lexsort((owner, *keys[::-1]))
-        heads = run_starts(*(k[order] for k in keys))
-        least = owner[order][np.flatnonzero(heads)][np.cumsum(heads) - 1]
-        later = np.zeros(len(item), np.uint64)
-        later[order] = owner[order] > least
-        return np.bitwise_or.reduceat(later << j.astype(U), np.cumsum(size) - size) if len(item) else np.zeros(len(name), U)
+            return v >> U(8 * (k + 8 - width)) if k + 8 > width else v
+
+        order = np.lexsort((ids[item], *(key(k) for k in reversed(range(0, width, 8)))))
+        same = np.ones(max(len(item) - 1, 0), bool)
+        for k in range(0, width, 8):
+            v = key(k)[order]
+            same &= v[1:] == v[:-1]
+        heads = np.append(True, ~same)[: len(item)]
+        least = ids[item][order][np.flatnonzero(heads)][np.cumsum(heads) - 1]
+        out = np.zeros(len(item), U)
+        out[order] = ids[item][order] > least
+        return np.bitwise_or.reduceat(out << j.astype(U), np.cumsum(size) - size)
+
+    def fn(items, sender):
+        name, ids, count, data = items
+        size = count.astype(np.int64)
+        at = np.cumsum(size + width - 1) - (size + width - 1)
+        order = np.argsort(name, kind="stable")  # equal windows have the same trigger: some triggers at a time
+        heads = np.flatnonzero(run_starts(name[order]))
+        ends = np.cumsum(size[order])
+        out, a = np.zeros(len(name), U), 0
+        while a < len(order):
+            upto = np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, "right")
+            k = int(np.searchsorted(heads, max(upto, a + 1), "right")) - 1
+            b = int(heads[k]) if heads[k] > a else int(np.append(heads, len(order))[k + 1])
+            if upto >= len(order):
+                b = len(order)
+            i = order[a:b]
+            n = size[i] + width - 1
+            out[i] = later(ids[i], size[i], data[np.repeat(at[i] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+            a = b
+        return out
 
     return fn
 
@@ -133,7 +161,7 @@ def removed_bytes(blocks: DataFrame, finish, schema: str, id_col: str = "doc_id"
 
     def send_suffixes(block, t, marks):
         texts = Texts.of(t[text_col])
-        name, _, least, one, _, _, first, _, count = _dictionary(texts, B.ids_of(t, id_col), width, trigger)
+        name, _, least, one, _, _, first, count = _dictionary(texts, B.ids_of(t, id_col), width, trigger)
         _, k = open_entries(name, marks)
         begin, windows = first[one[k]], count[one[k]]
         size = windows + width - 1
@@ -143,7 +171,7 @@ def removed_bytes(blocks: DataFrame, finish, schema: str, id_col: str = "doc_id"
 
     def apply(block, t, marks):
         texts = Texts.of(t[text_col])
-        name, _, _, _, entry, later, first, _, count = _dictionary(texts, B.ids_of(t, id_col), width, trigger)
+        name, _, _, _, entry, later, first, count = _dictionary(texts, B.ids_of(t, id_col), width, trigger)
         got, k = open_entries(name, marks)
         bits = np.zeros(len(name), U)
         bits[k] = B.answers(marks, SUFFIXES, len(k), U)
@@ -196,10 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buf, off = cut_bytes(texts, ~whole[char] if len(char) else ~removed)
         i = t.schema.get_field_index(text_col)
         new = pa.LargeStringArray.from_buffers(t.num_rows, pa.py_buffer(np.ascontiguousarray(off)), pa.py_buffer(np.ascontiguousarray(buf)))
-        import pyarrow.compute as pc
-
         null = t[text_col].combine_chunks().is_null()
         return t.set_column(i, t.schema.field(i), pc.if_else(null, None, new).cast(t.schema.field(i).type))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return removed_bytes(B.pack(docs, text_col), finish, schema, id_col, text_col, width)
+    return removed_bytes(B.pack(docs, text_col), finish, docs.schema, id_col, text_col, width)
