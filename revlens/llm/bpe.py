@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from revlens.llm import blocks as B
 from revlens.llm.arrays import P_BYTE, Texts, hash_spans
@@ -180,12 +181,14 @@ def encoded(blocks: DataFrame, held, finish, schema: str, text_col: str = "text"
         names, start, end, _, _ = _words(texts, held.value.added)
         off = np.append(0, np.cumsum(end - start))
         data = texts.buf[gather(start, end - start)]
-        return B.sends(block, n, names, (end - start).astype(np.uint32), beside=lambda a, b: [data[off[a] : off[b]]])
+        size = (end - start).astype(np.uint32)
+        return B.table(B.SENT, [(i, block, a, B.dump(size[a:b], data[off[a] : off[b]], level=3)) for i, a, b in B.cut(names, n)])
 
     def encode(t: pa.Table) -> pa.Table:
         bodies = [B.load(x.as_py()) for x in t["body"]]
-        name, size, data = (np.concatenate(x) for x in zip(*bodies))
+        size, data = (np.concatenate(x) for x in zip(*bodies))
         off = np.append(0, np.cumsum(size.astype(np.int64)))
+        name = hash_spans(data, off[:-1], off[1:], P_BYTE)
         _, one, index = np.unique(name, return_index=True, return_inverse=True)
         raw = data.tobytes()
         got = held.value.tokenizer().encode_batch_fast([raw[off[i] : off[i + 1]].decode("utf-8") for i in one], add_special_tokens=False)
@@ -240,7 +243,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", to:
         col = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32)))
         return t.select([f.name for f in rest]).append_column(to, col)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{to}` array<int>"
+    schema = StructType([*rest, StructField(to, ArrayType(IntegerType()))])
     return encoded(B.pack(docs, text_col), held, finish, schema, text_col)
 
 
@@ -262,4 +265,4 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", to: s
             texts = [None if x is None else data[at[ends[i]] : at[ends[i + 1]]].tobytes().decode("utf-8", "replace") for i, x in enumerate(col.to_pylist())]
             yield from t.select([f.name for f in rest]).append_column(to, pa.array(texts, pa.string())).to_batches()
 
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{to}` string")
+    return rows.mapInArrow(run, StructType([*rest, StructField(to, StringType())]))

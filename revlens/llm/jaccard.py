@@ -37,7 +37,7 @@ WIDTH = 5
 SIMILARITY = 75
 LEVELS = 1
 SKIP = 64  # sets in a block of an index list
-ROWS = "doc_id long, n_shingles long, node binary, alone long, rest binary"
+ROWS = "block long, row long, doc_id long, n_shingles long, node binary, alone long, rest binary"
 PAIRS = "a binary, b binary"
 
 
@@ -84,16 +84,16 @@ def _levels(items, sender):
     return out
 
 
-def _rows(blocks: DataFrame, width: int, similarity: int) -> DataFrame:
+def _rows(blocks: DataFrame, width: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     n_ranges = B.ranges(blocks.sparkSession)
 
     def send(block, t):
-        s, row, _, names = sets_of(t["text"], width)
+        s, row, _, names = sets_of(t[text_col], width)
         distinct, count, _ = _distinct(s, row, names)
         return B.sends(block, n_ranges, distinct, count)
 
     def apply(block, t, marks):
-        s, row, n, names = sets_of(t["text"], width)
+        s, row, n, names = sets_of(t[text_col], width)
         distinct, _, index = _distinct(s, row, names)
         level = B.answers(marks, LEVELS, len(distinct), np.uint8)[index]
         alone = np.bincount(row, level == 0, t.num_rows).astype(np.int64) if len(s) else np.zeros(t.num_rows, np.int64)
@@ -105,7 +105,7 @@ def _rows(blocks: DataFrame, width: int, similarity: int) -> DataFrame:
         ends = np.append(0, np.cumsum(np.bincount(row, minlength=t.num_rows)))
         rest = [s[ends[i] : ends[i + 1]].tobytes() if alive[i] else None for i in range(t.num_rows)]
         node = [names[i].tobytes() if n[i] else None for i in range(t.num_rows)]
-        return pa.table({"doc_id": t["doc_id"].cast(pa.int64()), "n_shingles": n, "node": pa.array(node, pa.binary()), "alone": alone, "rest": pa.array(rest, pa.binary())})
+        return pa.table({"block": np.full(t.num_rows, block), "row": np.arange(t.num_rows), "doc_id": t[id_col].cast(pa.int64()), "n_shingles": n, "node": pa.array(node, pa.binary()), "alone": alone, "rest": pa.array(rest, pa.binary())})
 
     levels = B.meet(B.each_block(blocks, send, B.SENT), _levels, LEVELS)
     return B.with_answers(blocks, levels, apply, ROWS)
@@ -290,9 +290,9 @@ def _pair_up(classes: DataFrame, links: DataFrame | None, fn, similarity: int) -
     return _postings(known, similarity).groupBy("bucket").applyInArrow(fn(similarity), PAIRS).distinct()
 
 
-def joined(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (the set's 128-bit name) of every document."""
-    rows = _rows(B.pack(B.chosen(docs, "doc_id", "text")), width, similarity).checkpoint()
+def _joined(blocks: DataFrame, width: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
+    """(block, row, doc_id, n_shingles, node, part, component_id) of every row."""
+    rows = _rows(blocks, width, similarity, id_col, text_col).checkpoint()
     classes = rows.where("rest is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("alone").alias("alone"), F.first("rest").alias("rest")).checkpoint()
     tried = _pair_up(classes, None, _centre_pairs, similarity).checkpoint()
     links = _verified(tried, classes, similarity).checkpoint()
@@ -300,11 +300,31 @@ def joined(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) ->
         more = _pair_up(classes, links, find, similarity).join(tried, ["a", "b"], "left_anti").checkpoint()
         links = links.unionByName(_verified(more, classes, similarity)).checkpoint()
         tried = tried.unionByName(more)
-    parts = components(links)
     # the smallest number of a component: first by set (copies), then by component
     by_set = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    by_set = by_set.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    by_set = by_set.join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
     by_part = by_set.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    ids = by_set.join(by_part, "part").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    ids = by_set.join(by_part, "part").select("node", "part", "component_id")
+    out = rows.drop("alone", "rest").join(ids, "node", "left")
+    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id and node (the set's 128-bit name) of every document."""
+    blocks = B.pack(B.chosen(docs, id_col, text_col), text_col)
+    return _joined(blocks, width, similarity, id_col, text_col).select("doc_id", "n_shingles", "component_id", "node")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest number (of rows
+    that share it, the first read).  Rows without a set all stay."""
+    blocks = B.pack(docs, text_col)
+    found = _joined(blocks, width, similarity, id_col, text_col)
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "block", "row")
+    kept = found.where("part is not null").groupBy("part").agg(F.min(place).alias("x")).select("x.block", "x.row")
+    kept = kept.unionByName(found.where("part is null").select("block", "row"))
+
+    def keep(block, t, rows):
+        return t.take(rows["row"].sort()) if rows.num_rows else t.slice(0, 0)
+
+    return B.with_answers(blocks, kept, keep, docs.schema)
