@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import ALNUM, P_WORD, P_WORD2, Texts, U, Words, prefix_hash, run_starts, span_hash, spread, word_hash, words_of
+from revlens.llm.arrays import ALNUM, P_WORD, P_WORD2, U, Texts, Words, hash_spans, run_starts, spread, word_hash, words_of
 
 WIDTH = 10
 BROADCAST_BYTES = 4 << 20
@@ -43,7 +43,7 @@ def _read(t: pa.Table, text: str) -> tuple[Words, np.ndarray]:
 
 
 def _hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return span_hash(prefix_hash(h, P_WORD), start, end, P_WORD), span_hash(prefix_hash(h, P_WORD2), start, end, P_WORD2)
+    return hash_spans(h, start, end, P_WORD), hash_spans(h, start, end, P_WORD2)
 
 
 def _sum(items, sender):
@@ -140,7 +140,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: str, t
 
         def run(batches):
             found, ids = held.value
-            for b in batches:
+            for b in B.slices(batches, text_col):
                 t = pa.Table.from_batches([b])
                 w, h = _read(t, text_col)
                 yield from finish(t, w, *_judge(w, h, found), ids).to_batches()
@@ -197,5 +197,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: s
         n_hit = np.diff(np.append(0, np.cumsum(hit))[w.first])
         return t.filter(pa.array(n_hit == 0))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return judged(docs, benchmark, finish, schema, text_col, width=width)
+    return judged(docs, benchmark, finish, docs.schema, text_col, width=width)
