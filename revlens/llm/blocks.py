@@ -98,7 +98,7 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
             return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([_ipc(t)], pa.binary())], ["block", "payload"])
 
         for b in batches:
-            lengths = np.nan_to_num(np.asarray(pc.binary_length(b.column(b.schema.get_field_index(text))).fill_null(0), np.int64))
+            lengths = np.asarray(pc.binary_length(b.column(b.schema.get_field_index(text))).fill_null(0), np.int64)
             first = 0
             for i, n in enumerate(lengths.tolist()):
                 size += n + 16
@@ -111,7 +111,17 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
         if held:
             yield block()
 
-    return docs.mapInArrow(fn, "block long, payload binary").repartition(parts(docs.sparkSession), "block")
+    return map_rows(docs, fn, "block long, payload binary").repartition(parts(docs.sparkSession), "block")
+
+
+def map_rows(docs: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` that also takes columns whose names differ in case only."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
+
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, size: int = BLOCK_BYTES // 2) -> Iterator[pa.RecordBatch]:
@@ -204,5 +214,6 @@ def ids_of(t: pa.Table, name: str) -> np.ndarray:
 
 
 def chosen(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, which are taken by exact name where others differ in case only."""
-    return docs.select(*(F.col(f"`{n}`") for n in names))
+    """Only the named columns; by exact name where others differ in case only."""
+    at = [docs.columns.index(n) for n in names]
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names)))

@@ -265,4 +265,4 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", to: s
             texts = [None if x is None else data[at[ends[i]] : at[ends[i + 1]]].tobytes().decode("utf-8", "replace") for i, x in enumerate(col.to_pylist())]
             yield from t.select([f.name for f in rest]).append_column(to, pa.array(texts, pa.string())).to_batches()
 
-    return rows.mapInArrow(run, StructType([*rest, StructField(to, StringType())]))
+    return B.map_rows(rows, run, StructType([*rest, StructField(to, StringType())]))

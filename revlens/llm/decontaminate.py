@@ -145,7 +145,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, finish: Finish, schema: str, t
                 w, h = _read(t, text_col)
                 yield from finish(t, w, *_judge(w, h, found), ids).to_batches()
 
-        return docs.mapInArrow(run, schema)
+        return B.map_rows(docs, run, schema)
 
     blocks = B.pack(docs, text_col)
 

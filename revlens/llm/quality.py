@@ -160,4 +160,4 @@ def keep(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT,
             _, kept = verdict(measure(b.column(b.schema.get_field_index(text_col)), min_repeat), **limits)
             yield b.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return B.map_rows(docs, run, docs.schema)

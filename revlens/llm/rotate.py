@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.llm import blocks as B
+
 SYSTEM, UNKNOWN = "system", "unknown"
 STRETCH = 256
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
@@ -31,7 +33,7 @@ def _header(role: Column, speaker: Column) -> Column:
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stretch: int = STRETCH) -> DataFrame:
-    said = turns.select(
+    said = B.chosen(turns, conv, turn, role, text).select(
         F.col(f"`{conv}`").alias("conv_id"),
         F.col(f"`{turn}`").alias("turn"),
         F.when(F.col(f"`{role}`") != "", F.col(f"`{role}`")).otherwise(F.lit(UNKNOWN)).alias("speaker"),
