@@ -93,13 +93,15 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     replace columns of these names)."""
     sets = {k: sorted(set(v.split())) for k, v in (templates or TEMPLATES).items()}
     vocabulary = sorted({t for x in sets.values() for t in x})
+    names_in, text_at = docs.columns, docs.columns.index(text_col)
+    docs, text_col = docs.toDF(*(f"c{i}" for i in range(len(names_in)))), f"c{text_at}"  # names may differ in case only
     count = document_counts(docs, vocabulary, text_col)
     sets = {k: sorted(x, key=lambda t: (count[t], t)) for k, x in sets.items()}
     prefixes = sorted({t for x in sets.values() for t in x[: len(x) + int(-containment * len(x) // 1) + 1]})
 
     out = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in out]
-    df = docs.select(*kept, F.col(f"`{text_col}`").alias("__text"))
+    kept = [f"c{i}" for i, c in enumerate(names_in) if c not in out]
+    df = docs.select(*kept, F.col(text_col).alias("__text"))
     df = df.withColumn("__low", lowered(F.col("__text"))).withColumn("__words", words(F.col("__low")))
     n_words = F.size("__words").cast("long")
     rarely = F.col("__low").rlike("license|cc[^0-9a-z]+by")
@@ -121,7 +123,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     more = F.map_keys(F.map_filter("__shares", lambda _, v: v > 0))
     n_base = sum(col("n")[1:], col("n")[0])
     return df.select(
-        *kept,
+        *(F.col(f"c{i}").alias(c) for i, c in enumerate(names_in) if c not in out),
         "n_words",
         n_base.alias("n_base"),
         F.least(*col("f")).alias("first_word"),

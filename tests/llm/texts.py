@@ -48,5 +48,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "own", 7, "other") for i, t in rows], SCHEMA).repartition(3)
 
 
+def slim(spark, rows):
+    """Without the second column that Spark calls text."""
+    return spark.createDataFrame([(i, t, "own", 7) for i, t in rows], "doc_id long, text string, block string, bucket int").repartition(3)
+
+
 def last(i):
     return 2**63 - 1 if i is None else i
