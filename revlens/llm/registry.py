@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from revlens.llm import bpe, decontaminate, jaccard, licenses, maxent, quality, rotate, substring_dedup, suffix_dedup, warc
+from revlens.llm.oracle import ORACLE  # noqa: F401
 from revlens.session import load_table
 
 
@@ -50,4 +51,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_maxent_score, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
-ORACLE: dict[str, str] = {}
+
