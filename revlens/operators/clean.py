@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions.casts import month_year, safe_double, safe_int, yes_no
 from revlens.functions.text import NA_TOKENS, null_na_tokens, py_strip, replace_values
-from revlens.operators.joins import broadcast_if_small
 
 # Column names of a review record as the reference writes them.
 ENTITY = "airline"
@@ -88,20 +89,18 @@ def impute_mean_by_group(df: DataFrame, group_cols: Sequence[str], cols: Sequenc
     """NULL -> mean of the non-NULL values of the same group.
 
     One aggregate for all columns (map-side partial, so a hot group is not
-    gathered in one task), then a join of the small per-group means table;
-    it is broadcast only when its row count is checked to be small.  A group
-    whose values are all NULL keeps NULL.
+    gathered in one task), then a null-safe join of the per-group means, whose
+    kind the planner picks from measured sizes.  Rows with a NULL group are a
+    group of their own; a group whose values are all NULL keeps NULL.
     """
-    group_cols = list(group_cols)
-    if not group_cols:  # one global group: a one-row means table
-        df = df.withColumn("_all", F.lit(0))
-        group_cols = ["_all"]
-    means = df.groupBy(*group_cols).agg(*[F.avg(F.col(f"`{c}`")).alias(f"_mean_{i}") for i, c in enumerate(cols)])
-    means = broadcast_if_small(means, 1_000_000)
-    joined = df.join(means, group_cols, "left")
+    keys = [F.col(f"`{c}`") for c in group_cols] or [F.lit(0)]  # no group column: one global group
+    means = df.groupBy(*[k.alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(
+        *[F.avg(F.col(f"`{c}`")).alias(f"_mean_{i}") for i, c in enumerate(cols)])
+    same = reduce(and_, (k.eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)))
+    joined = df.join(means, same, "left")
     out = [
         F.coalesce(F.col(f"`{c}`"), F.col(f"_mean_{cols.index(c)}")).alias(c) if c in cols else F.col(f"`{c}`")
-        for c in df.columns if c != "_all"
+        for c in df.columns
     ]
     return joined.select(*out)
 

@@ -7,9 +7,10 @@ rows; everything after that is DataFrame code.
 * :func:`extract_records` - generic: records = elements matching a tag and
   attributes; fields = first matching descendant's text / an attribute /
   a count of matching descendants (H1, H2, H5, H6).
-* :func:`extract_reviews` - the review-page layout of the reference: rating,
-  flag/body split of the text block, rating table -> 13 fixed fields, star
-  counts (H1-H5).  A record whose layout is broken is kept with an
+* :func:`extract_reviews` - review pages as field specs of the generic
+  operator plus column expressions: flag/body split of the text block, the
+  rating table as an array of (header, value, stars) from which the last row of
+  each name wins (H1-H5).  A record whose layout is broken is kept with an
   ``_error`` message instead of failing the job (quarantine).
 """
 
@@ -19,30 +20,41 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions.htmltree import Node, parse
+from revlens.functions.text import split_flag_body
+from revlens.operators.clean import OVERALL, RECORD_COLUMNS, STAR_COLUMNS, TEXT, VERIFICATION
 from revlens.operators.joins import spread
 
 
 @dataclass(frozen=True)
 class FieldSpec:
     """``kind``: ``text`` (first match's text, NULL if none), ``count``
-    (number of matches), ``attr:<name>`` (attribute of the first match), or
-    ``self`` (the record element's own text; ``tag`` is ignored)."""
+    (number of matches), ``attr:<name>`` (attribute of the first match),
+    ``self`` (the record element's own text; ``tag`` is ignored), or ``rows``
+    (an array with one struct of ``cells`` for each match).  ``within`` is a
+    path of (tag, attributes) whose first matches are searched in turn; nothing
+    matches below a missing one."""
 
     name: str
     tag: str | None
     attrs: dict = field(default_factory=dict)
     kind: str = "text"
+    within: tuple = ()
+    cells: tuple = ()
 
     def value(self, node: Node):
         if self.kind == "self":
             return node.text()
-        if self.kind == "count":
-            return len(node.find_all(self.tag, self.attrs))
-        hit = node.find(self.tag, self.attrs)
+        for tag, attrs in self.within:
+            node = node.find(tag, attrs) if node is not None else None
+        if self.kind in ("count", "rows"):
+            hits = node.find_all(self.tag, self.attrs) if node is not None else []
+            return len(hits) if self.kind == "count" else [{c.name: c.value(h) for c in self.cells} for h in hits]
+        hit = node.find(self.tag, self.attrs) if node is not None else None
         if hit is None:
             return None
         if self.kind == "text":
@@ -52,6 +64,8 @@ class FieldSpec:
         raise ValueError(f"unknown field kind {self.kind}")
 
     def spark_type(self):
+        if self.kind == "rows":
+            return T.ArrayType(T.StructType([T.StructField(c.name, c.spark_type()) for c in self.cells]))
         return T.IntegerType() if self.kind == "count" else T.StringType()
 
 
@@ -115,52 +129,19 @@ def extract_records(
     return spread(df.select(*keep, html_col)).mapInPandas(run, schema)
 
 
-# Rating-table headers of a review record, in the reference's
-# order; the first five hold text, the next seven are star counts, the last is
-# text.
-RATING_HEADERS = [
-    "Aircraft", "Type Of Traveller", "Seat Type", "Route", "Date Flown", "Seat Comfort",
-    "Cabin Staff Service", "Food & Beverages", "Inflight Entertainment", "Ground Service",
-    "Wifi & Connectivity", "Value For Money", "Recommended",
-]
-STAR_HEADERS = frozenset([
-    "Seat Comfort", "Cabin Staff Service", "Food & Beverages", "Inflight Entertainment",
-    "Ground Service", "Value For Money", "Wifi & Connectivity",
-])
-REVIEW_COLUMNS = ["overall_rating", "verification", "review_text", *RATING_HEADERS]
-
-
-def _review_fields(article: Node) -> dict:
-    rec: dict = {}
-    rating = article.find("span", {"itemprop": "ratingValue"})
-    rec["overall_rating"] = rating.text() if rating is not None else None
-    box = article.find("div", {"class": "tc_mobile"})
-    if box is None:
-        raise ValueError("no div.tc_mobile")
-    body = box.find("div", {"class": "text_content"})
-    if body is None:
-        raise ValueError("no div.text_content")
-    pieces = body.text().split("|")
-    rec["verification"] = pieces[0].strip() if len(pieces) == 2 else None
-    rec["review_text"] = pieces[-1].strip()
-    table = box.find("table", {"class": "review-ratings"})
-    if table is None:
-        raise ValueError("no table.review-ratings")
-    ratings = dict.fromkeys(RATING_HEADERS)
-    for tr in table.find_all("tr"):
-        head = tr.find("td", {"class": "review-rating-header"})
-        if head is None:
-            raise ValueError("rating row without header cell")
-        name = head.text()
-        if name not in ratings:
-            continue  # unknown header: dropped
-        if name in STAR_HEADERS:
-            ratings[name] = str(len(tr.find_all("span", {"class": "star fill"})))
-        else:
-            cell = tr.find("td", {"class": "review-value"})
-            ratings[name] = cell.text() if cell is not None else None
-    rec.update(ratings)
-    return rec
+_BOX = ("div", {"class": "tc_mobile"})
+_TABLE = ("table", {"class": "review-ratings"})
+REVIEW_FIELDS = (
+    FieldSpec(OVERALL, "span", {"itemprop": "ratingValue"}),
+    FieldSpec("_block", "div", {"class": "text_content"}, within=(_BOX,)),
+    FieldSpec("_tables", *_TABLE, kind="count", within=(_BOX,)),
+    FieldSpec("_ratings", "tr", kind="rows", within=(_BOX, _TABLE), cells=(
+        FieldSpec("header", "td", {"class": "review-rating-header"}),
+        FieldSpec("value", "td", {"class": "review-value"}),
+        FieldSpec("stars", "span", {"class": "star fill"}, kind="count"),
+    )),
+)
+REVIEW_COLUMNS = RECORD_COLUMNS[1:]  # what a page gives: all but the entity
 
 
 def extract_reviews(
@@ -171,29 +152,20 @@ def extract_reviews(
     record fields as strings (the raw CSV layout) + ``_error``."""
     record_attrs = record_attrs if record_attrs is not None else {"itemprop": "review"}
     keep = [*keep, entity_col]
-    schema = T.StructType(
-        [pages.schema[c] for c in keep]
-        + [T.StructField("record_no", T.IntegerType())]
-        + [T.StructField(c, T.StringType()) for c in REVIEW_COLUMNS]
-        + [T.StructField("_error", T.StringType())]
+    raw = extract_records(pages, html_col, record_tag, REVIEW_FIELDS, keep, record_attrs)
+    broken = (
+        F.when(F.col("_error").isNotNull(), F.col("_error"))
+        .when(F.col("_block").isNull(), F.lit("no text block"))
+        .when(F.col("_tables") == 0, F.lit("no rating table"))
+        .when(F.exists("_ratings", lambda r: r["header"].isNull()), F.lit("a rating row without header"))
     )
-    names = [f.name for f in schema.fields]
+    flag, body = split_flag_body("_block")
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for rec in pdf.to_dict("records"):
-                root = parse(rec[html_col])
-                for i, art in enumerate(root.find_all(record_tag, record_attrs)):
-                    item = {k: rec[k] for k in keep}
-                    item["record_no"] = i
-                    try:
-                        item.update(_review_fields(art))
-                        item["_error"] = None
-                    except Exception as exc:  # noqa: BLE001 - quarantined per record
-                        item["_error"] = f"{type(exc).__name__}: {exc}"
-                    out.append(item)
-            if out:
-                yield _frame(out, names)
+    def rating(name: str) -> Column:
+        named = F.filter("_ratings", lambda r: r["header"] == F.lit(name))
+        last = F.try_element_at(named, F.lit(-1))
+        return last["stars"].cast("string") if name in STAR_COLUMNS else last["value"]
 
-    return spread(pages.select(*keep, html_col)).mapInPandas(run, schema)
+    fields = {OVERALL: F.col(OVERALL), VERIFICATION: flag, TEXT: body}
+    values = [F.when(F.col("_broken").isNull(), fields[c] if c in fields else rating(c)).alias(c) for c in REVIEW_COLUMNS]
+    return raw.withColumn("_broken", broken).select(*keep, "record_no", *values, F.col("_broken").alias("_error"))

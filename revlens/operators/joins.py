@@ -1,34 +1,20 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join and split helpers.
+
+Sides of joins carry no broadcast hints: the planner and AQE decide from
+measured bytes, and no job runs while a plan is being built.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark ``df`` for broadcast when its row count is checked below the bound.
-
-    Beyond the bound the frame is returned unhinted: the planner then uses a
-    shuffle join, AQE may still convert it at run time from measured sizes, and
-    skewed keys are split by AQE's skew-join handling.
-    """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
-def broadcast_list(df: DataFrame, values_len: int, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a frame built from a driver-side list whose length is known."""
-    return F.broadcast(df) if values_len <= max_rows else df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when ``df`` has fewer partitions than the
-    cluster's parallelism (e.g. a large file stored as one row group) ahead of
-    CPU-heavy per-row work; a no-op when it is already split finely enough."""
+    """Round-robin repartition of an input with fewer splits than the cluster's
+    parallelism (e.g. a large file stored as one row group) ahead of CPU-heavy
+    per-row work.  A frame that comes out of a shuffle is left as it is: asking
+    for its partition count would run the stages below it."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -15,6 +15,8 @@ Only the order columns need to be unique; callers add a tie-break column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,13 +25,9 @@ from revlens.session import ensure_checkpoint_dir
 
 
 def _n_partitions(df: DataFrame, n: int | None) -> int:
-    """Range count: at least the shuffle partitions and at least the input's
-    own split count, so one range stays about one input split in size (the
+    """Range count: the shuffle partitions, which are sized with the data (the
     count table that is prefix-summed has one row per range)."""
-    if n:
-        return n
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, df.rdd.getNumPartitions())
+    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def with_row_index(
@@ -75,9 +73,12 @@ def with_group_row_number(
 
     Global index in (group, order) order minus the group's first index; the
     per-group minimum is a partial aggregate, so a hot group is not gathered.
+    A NULL group key is a group of its own, as in ``groupBy``.
     """
     idx = with_row_index(df, [*group_cols, *order_cols], "_gidx", num_partitions)
     first = idx.groupBy(*group_cols).agg(F.min("_gidx").alias("_first"))
-    return idx.join(first, list(group_cols)).select(
-        *df.columns, (F.col("_gidx") - F.col("_first")).alias(out_col)
+    first = first.select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group_cols)], "_first")
+    same = reduce(and_, (F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group_cols)))
+    return idx.join(first, same).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_gidx") - F.col("_first")).alias(out_col)
     )

@@ -21,8 +21,8 @@ def file_stats(
     """One row per file: review count, mean rating, verified count, distinct
     routes (after the category default, so "Not specified" counts as a route).
 
-    ``with_total`` adds the all-files row (``file_key`` NULL) via ``rollup``
-    in the same job.  All aggregates combine partially on the map side;
+    ``with_total`` adds the all-files row via ``rollup`` in the same job and a
+    column ``is_total``, which tells it from a file whose key is NULL.  All aggregates combine partially on the map side;
     ``exact_distinct=False`` switches the route count to HyperLogLog++ for very
     large files.
     """
@@ -35,8 +35,9 @@ def file_stats(
         F.count_if(F.col(f"`{verification}`") == F.lit(verified_value)).alias("n_verified"),
         distinct.alias("n_routes"),
     ]
-    grouped = df.rollup(file_key) if with_total else df.groupBy(file_key)
-    return grouped.agg(*aggs)
+    if not with_total:
+        return df.groupBy(file_key).agg(*aggs)
+    return df.rollup(file_key).agg((F.grouping(file_key) == 1).alias("is_total"), *aggs)
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:

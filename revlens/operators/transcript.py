@@ -16,6 +16,9 @@ Two physical forms for the order-dependent steps:
 * ``strategy="auto"`` (default): measure the largest key first (a partial
   count per key, one number to the driver) and use the window form only when
   every key stays below ``max_window_rows``.
+
+Both forms give the same rows for every input: NULL keys and NULL types are
+values of their own in either.
 """
 
 from __future__ import annotations
@@ -120,7 +123,7 @@ def response_status(
     """
     key_cols = list(key_cols)
     strategy = choose_strategy(df, key_cols, strategy)
-    is_marker = F.col(kind_col).isin([end_kind, error_kind])
+    is_marker = F.coalesce(F.col(kind_col).isin([end_kind, error_kind]), F.lit(False))  # a NULL kind is a chunk
     marked = df.withColumn("_marker", is_marker)
     ranked = _ranks(marked, key_cols, order_cols, "_marker", strategy)
     # markers before a chunk = its rank - its rank among chunks; a marker's

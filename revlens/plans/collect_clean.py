@@ -23,15 +23,16 @@ from pyspark.sql import functions as F
 from revlens.functions.text import file_name_for
 from revlens.operators.clean import RECORD_COLUMNS, CleanSpec, clean_reviews
 from revlens.operators.html import REVIEW_COLUMNS, extract_reviews
-from revlens.operators.joins import broadcast_if_small
 from revlens.operators.ordered import with_row_index
 from revlens.operators.stats import file_stats
 from revlens.sources.pages import stop_at_first_failure
 
 
 def collect(pages: DataFrame, plan: DataFrame, ok_col: str = "ok") -> tuple[DataFrame, DataFrame]:
-    """(records, quarantine).  ``pages``: ``url, html, ok``; ``plan``: ``entity, page, url``."""
-    joined = pages.join(broadcast_if_small(plan, 1_000_000), "url")
+    """(records, quarantine).  ``pages``: ``url, html, ok``; ``plan``: ``entity, page, url``.
+
+    A planned page that did not land is a failed page."""
+    joined = plan.join(pages, "url", "left").withColumn(ok_col, F.coalesce(F.col(ok_col), F.lit(False)))
     usable = stop_at_first_failure(joined, ["entity"], ["page"], ~F.col(ok_col)).where(F.col(ok_col))
     recs = extract_reviews(usable, "html", "entity", keep=("page",))
     good = recs.where(F.col("_error").isNull()).drop("_error")

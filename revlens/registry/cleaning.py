@@ -285,7 +285,7 @@ SELECT c_mktsegment AS source_file, count(*) AS n_reviews, round(avg(c_acctbal),
        count(*) FILTER (WHERE c_nationkey = 0) AS n_verified, count(DISTINCT c_nationkey) AS n_routes
 FROM customer GROUP BY c_mktsegment""",
     "file_stats_total": """
-SELECT c_mktsegment AS source_file, count(*) AS n_reviews, round(avg(c_acctbal), 6) AS avg_rating,
+SELECT c_mktsegment AS source_file, grouping(c_mktsegment) = 1 AS is_total, count(*) AS n_reviews, round(avg(c_acctbal), 6) AS avg_rating,
        count(*) FILTER (WHERE c_nationkey = 0) AS n_verified, count(DISTINCT c_nationkey) AS n_routes
 FROM customer GROUP BY ROLLUP (c_mktsegment)""",
     "union_by_name": """

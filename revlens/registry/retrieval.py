@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.functions.text import words
 from revlens.operators.embed import hashed_sparse, hashed_with_rejects
 from revlens.operators.retrieve import attach_matches, group_centroids, topk_cosine
 from revlens.plans.answer import AnswerConfig, answer_text_questions
@@ -14,7 +15,6 @@ from revlens.registry.common import (
 from revlens.session import load_table
 
 EMB_DIM = 64
-MAX_CHARS_EMBED = 10_000
 
 
 def _centroid_questions(emb: DataFrame) -> DataFrame:
@@ -120,10 +120,7 @@ def q_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_embed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
-    return hashed_with_rejects(
-        docs, "doc_id", "text", F.col("n_chars") > MAX_CHARS_EMBED, f"text longer than {MAX_CHARS_EMBED} characters",
-        DIM,
-    )
+    return hashed_with_rejects(docs, "doc_id", "text", F.size(words("text")) == 0, "no token", DIM)
 
 
 def _text_answer(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -264,15 +261,10 @@ SELECT doc_id, bucket, round(weight, 6) AS weight FROM {sql_hashed_sparse('docum
 """
 
 _REJECTS = f"""
-WITH t AS (SELECT doc_id, text,
-                  CASE WHEN text IS NULL THEN 'missing text'
-                       WHEN n_chars > {MAX_CHARS_EMBED} THEN 'text longer than {MAX_CHARS_EMBED} characters' END AS error
-           FROM documents),
-nb AS (SELECT doc_id, count(*) AS n FROM {sql_hashed_sparse('(SELECT * FROM t WHERE error IS NULL)', 'doc_id', 'text')}
-       GROUP BY doc_id)
-SELECT t.doc_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'rejected' END AS status, error,
-       CASE WHEN error IS NULL THEN coalesce(nb.n, 0) END AS n_buckets
-FROM t LEFT JOIN nb USING (doc_id)
+WITH nb AS (SELECT doc_id, count(*) AS n FROM {sql_hashed_sparse('documents', 'doc_id', 'text')} GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN nb.n IS NULL THEN 'rejected' ELSE 'ok' END AS status,
+       CASE WHEN text IS NULL THEN 'missing text' WHEN nb.n IS NULL THEN 'no token' END AS error, nb.n AS n_buckets
+FROM documents d LEFT JOIN nb USING (doc_id)
 """
 
 _TEXT_BASE = f"""

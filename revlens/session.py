@@ -80,6 +80,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> SparkSession:
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             configured = tempfile.mkdtemp(prefix="revlens-ckpt-")
             spark.conf.set("spark.checkpoint.dir", configured)
         sc.setCheckpointDir(configured)

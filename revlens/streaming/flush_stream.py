@@ -57,8 +57,7 @@ def start_flush_stream(
         if path_exists(spark, path):
             touched = upd.select("day").distinct()
             base = spark.read.parquet(path).join(touched, "day", "left_semi").select(*upd.columns)
-            key = F.concat_ws("|", *[F.col(c).cast("string") for c in ids])
-            merged = upsert(base.withColumn("_key", key), upd.withColumn("_key", key), "_key").drop("_key")
+            merged = upsert(base, upd, ids)
             merged = merged.checkpoint(eager=True)  # it reads the files it will replace
         else:
             merged = upd

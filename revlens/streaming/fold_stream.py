@@ -1,108 +1,126 @@
 """Transcript folding on a stream of chunks (T2, T3, T5 in streaming form).
 
-State per conversation is two scalars - the type of the last message and
-the number of messages so far - so it stays small however long a
-conversation runs.  Each incoming chunk is tagged with its message number
-(append mode); the messages' text is the ordered concatenation of their
-chunks, computed downstream.  A ``clear`` chunk resets the state (T5).
-Idle conversations expire after a processing-time timeout.
+State per conversation is three scalars - the type of the last message, the
+number of messages so far and the epoch - so it stays small however long a
+conversation runs.  Each incoming chunk is tagged with its epoch and message
+number (append mode); the messages' text is the ordered concatenation of their
+chunks, computed downstream.  A ``clear`` chunk starts a new epoch (T5) and is
+passed on with it, so that :func:`last_epoch` can leave out what was cleared
+even when nothing follows.  Idle conversations expire after a processing-time
+timeout; one that returns starts an epoch numbered by its time, so that its
+messages cannot meet earlier ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE_SCHEMA = "last_type string, msg_no long"
 
+def _timeout(timeout_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
 
-def _fold_group(always_new: tuple[str, ...], clear_type: str | None, timeout_ms: int | None):
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_type, msg_no = state.get if state.exists else (None, -1)
-        chunks = [p for p in pdfs if len(p)]
-        if not chunks:
-            return
-        pdf = pd.concat(chunks, ignore_index=True).sort_values(["seq"], kind="mergesort")
-        out_msg = []
-        keep = []
-        for t in pdf["type"].tolist():
-            if clear_type is not None and t == clear_type:
-                last_type, msg_no = None, -1
-                out_msg.append(None)
-                keep.append(False)
-                continue
-            if t in always_new or t != last_type:
-                msg_no += 1
-            last_type = t
-            out_msg.append(msg_no)
-            keep.append(True)
-        pdf = pdf.assign(msg_no=out_msg)[keep]
-        state.update((last_type, int(msg_no)))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield pdf[["conv_id", "seq", "msg_no", "type", "text"]]
 
-    return fold
+def fold_numbers(types: pd.Series, always_new: Sequence[str], clear_type: str | None, last_type, msg_no: int, epoch: int):
+    """(epochs, message numbers, new state) of chunks in order; a clear chunk has no number."""
+    cleared = (types == clear_type).to_numpy() if clear_type is not None else np.zeros(len(types), bool)
+    section = np.cumsum(cleared)
+    before = types.shift(1)
+    before.iloc[0] = last_type
+    fresh = np.append(msg_no < 0, cleared[:-1])  # nothing stands before it in its epoch
+    same = (types == before) | (types.isna() & before.isna())
+    starts = (types.isin(list(always_new)) | ~same).to_numpy() | fresh
+    starts &= ~cleared
+    base = np.where(section == 0, msg_no, -1)
+    upto = np.cumsum(starts)
+    number = base + upto - np.maximum.accumulate(np.where(cleared, upto, 0))
+    last = len(types) - 1
+    state = (None, -1) if cleared[last] else (types.iloc[last], int(number[last]))
+    return epoch + section, np.where(cleared, -1, number), (*state, int(epoch + section[last]))
 
 
 def fold_chunks_stream(
-    chunks: DataFrame, always_new=("user",), clear_type: str | None = "clear", timeout_ms: int | None = None,
+    chunks: DataFrame, always_new=("user",), clear_type: str | None = "clear", timeout_ms: int | None = None, *,
+    key_col: str = "conv_id", order_cols: Sequence[str] = ("seq",), type_col: str = "type", text_col: str = "text",
 ) -> DataFrame:
-    """``chunks``: streaming ``conv_id, seq, type, text``; returns the chunks
-    tagged with ``msg_no`` (append mode).
+    """Streaming chunks tagged with ``epoch`` and ``msg_no`` (append mode):
+    ``key, *order, epoch, msg_no, type, text`` with the types of the input; a
+    clear chunk has ``msg_no`` -1.
 
     ``timeout_ms`` sets a processing-time expiry for idle conversations; use it
     for continuously running queries.  Leave it unset for ``availableNow``
     runs: a processing-time timeout makes the engine keep scheduling empty
     batches to check expiries, so such a run would not finish.
     """
-    out_schema = "conv_id long, seq long, msg_no long, type string, text string"
-    return chunks.groupBy("conv_id").applyInPandasWithState(
-        _fold_group(tuple(always_new), clear_type, timeout_ms),
-        out_schema,
-        STATE_SCHEMA,
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
-    )
+    order = list(order_cols)
+    field = lambda c: T.StructField(c, chunks.schema[c].dataType)
+    long = T.LongType()
+    out = T.StructType([field(key_col), *map(field, order), T.StructField("epoch", long), T.StructField("msg_no", long),
+                        field(type_col), field(text_col)])
+    kept = T.StructType([T.StructField("last_type", chunks.schema[type_col].dataType), T.StructField("msg_no", long),
+                         T.StructField("epoch", long)])
 
-
-def _tag_group(end_kinds: tuple[str, ...], timeout_ms: int | None):
-    def tag(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        (done,) = state.get if state.exists else (0,)
-        chunks = [p for p in pdfs if len(p)]
-        if not chunks:
+        parts = [p for p in pdfs if len(p)]
+        if not parts:
             return
-        pdf = pd.concat(chunks, ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
-        marker = pdf["kind"].isin(list(end_kinds)).to_numpy()
-        # response number = end markers seen before the row (a marker closes its own response)
-        before = done + (marker.cumsum() - marker)
-        state.update((int(done + marker.sum()),))
+        if state.exists:
+            last_type, msg_no, epoch = state.get
+        else:
+            last_type, msg_no, epoch = None, -1, (state.getCurrentProcessingTimeMs() if timeout_ms else 0)
+        pdf = pd.concat(parts, ignore_index=True).sort_values(order, kind="mergesort", ignore_index=True)
+        epochs, numbers, new = fold_numbers(pdf[type_col], always_new, clear_type, last_type, msg_no, epoch)
+        state.update(new)
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        yield pdf.assign(response_no=before.astype("int64"))[["key", "seq", "kind", "response_no"]]
+        yield pdf.assign(epoch=epochs, msg_no=numbers)[[f.name for f in out.fields]]
+
+    return chunks.groupBy(key_col).applyInPandasWithState(fold, out, kept, "append", _timeout(timeout_ms))
 
-    return tag
+
+def last_epoch(tagged: DataFrame, key_col: str = "conv_id") -> DataFrame:
+    """The chunks of each conversation's last epoch, without clear chunks."""
+    newest = F.max("epoch").over(Window.partitionBy(key_col))
+    return tagged.withColumn("_newest", newest).where("epoch = _newest AND msg_no >= 0").drop("_newest")
 
 
 def tag_responses_stream(
-    events: DataFrame, end_kinds=("end", "error_end"), timeout_ms: int | None = None,
+    events: DataFrame, end_kinds=("end", "error_end"), timeout_ms: int | None = None, *,
+    key_col: str = "key", order_cols: Sequence[str] = ("ts", "seq"), kind_col: str = "kind",
 ) -> DataFrame:
-    """``events``: streaming ``key, ts, seq, kind``; returns each event with
-    its ``response_no`` (append mode).  State per key is one counter; the
-    status of a response is an aggregate of its tagged rows downstream."""
-    return events.groupBy("key").applyInPandasWithState(
-        _tag_group(tuple(end_kinds), timeout_ms),
-        "key long, seq long, kind string, response_no long",
-        "done long",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout,
-    )
+    """Each streaming event with its ``epoch`` and ``response_no`` (append
+    mode): ``key, *order, kind, epoch, response_no``.  State per key is a
+    counter and the epoch; the status of a response is an aggregate of its
+    tagged rows downstream.  A key that returns after a timeout starts an epoch."""
+    order = list(order_cols)
+    field = lambda c: T.StructField(c, events.schema[c].dataType)
+    long = T.LongType()
+    out = T.StructType([field(key_col), *map(field, order), field(kind_col), T.StructField("epoch", long), T.StructField("response_no", long)])
+
+    def tag(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [p for p in pdfs if len(p)]
+        if not parts:
+            return
+        done, epoch = state.get if state.exists else (0, state.getCurrentProcessingTimeMs() if timeout_ms else 0)
+        pdf = pd.concat(parts, ignore_index=True).sort_values(order, kind="mergesort", ignore_index=True)
+        marker = pdf[kind_col].isin(list(end_kinds)).to_numpy()
+        # response number = end markers seen before the row (a marker closes its own response)
+        before = done + (marker.cumsum() - marker)
+        state.update((int(done + marker.sum()), int(epoch)))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+        yield pdf.assign(epoch=epoch, response_no=before.astype("int64"))[[f.name for f in out.fields]]
+
+    return events.groupBy(key_col).applyInPandasWithState(tag, out, "done long, epoch long", "append", _timeout(timeout_ms))

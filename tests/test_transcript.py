@@ -7,7 +7,7 @@ from revlens.operators.transcript import (
     after_last, drop_after_first, fold_runs, non_empty, ordered_concat, response_status, tumbling_concat,
 )
 from revlens.session import scratch_path
-from revlens.streaming.fold_stream import fold_chunks_stream
+from revlens.streaming.fold_stream import fold_chunks_stream, last_epoch
 
 # conv, seq, kind, text  (kinds: user, chunk, end, error_end, clear)
 STREAM = [
@@ -67,6 +67,8 @@ def test_tumbling_concat(spark):
 def test_stream_fold_equals_batch(spark):
     rows = [(c, s, "user" if k == "user" else "ai", t) for c, s, k, t in STREAM
             if k in ("user", "chunk") and t != "" and c == 1]
+    rows += [(9, 1, "ai", "old"), (9, 2, "clear", ""), (9, 7, "ai", "new"), (9, 8, None, "?"), (9, 9, None, "!"),
+             (8, 1, "ai", "gone"), (8, 9, "clear", "")]
     df = spark.createDataFrame(rows, "conv_id long, seq long, type string, text string")
     src = scratch_path(spark, "t-chunks")
     df.where("seq <= 5").coalesce(1).write.parquet(src)
@@ -76,10 +78,11 @@ def test_stream_fold_equals_batch(spark):
     q = (fold_chunks_stream(stream).writeStream.format("parquet").option("path", sink)
          .option("checkpointLocation", scratch_path(spark, "t-folded-ck")).trigger(availableNow=True).start())
     q.awaitTermination(120)
-    got = spark.read.parquet(sink).groupBy("conv_id", "msg_no").agg(
+    got = last_epoch(spark.read.parquet(sink)).groupBy("conv_id", "msg_no").agg(
         F.first("type").alias("type"), ordered_concat("text", ["seq"]).alias("content"))
     assert sorted((r.conv_id, r.msg_no, r.type, r.content) for r in got.collect()) == [
-        (1, 0, "user", "hi"), (1, 1, "ai", "abc"), (1, 2, "user", "q2"), (1, 3, "user", "q3"), (1, 4, "ai", "  ")]
+        (1, 0, "user", "hi"), (1, 1, "ai", "abc"), (1, 2, "user", "q2"), (1, 3, "user", "q3"), (1, 4, "ai", "  "),
+        (9, 0, "ai", "new"), (9, 1, None, "?!")]
 
 
 def test_stream_status_equals_batch(spark):
