@@ -12,6 +12,7 @@ from revlens.operators.understand import validate
 from revlens.plans.build_index import build_index
 from revlens.plans.collect_clean import collect
 from revlens.session import scratch_path
+from revlens.sources.csv import read_csv_folder, write_entity_csv, write_table
 from revlens.sources.index import upsert
 from revlens.streaming.fold_stream import fold_numbers
 from tests.fixtures import PAGE_TWO
@@ -122,3 +123,27 @@ def test_fold_numbers_equal_a_plain_loop():
         epochs, numbers, new = fold_numbers(pd.Series(types, dtype=object), ("user",), "clear", *state)
         assert list(zip(epochs.tolist(), numbers.tolist())) == want
         assert (new[0] if new[0] == new[0] else None, new[1], new[2]) == (last, no, epoch)
+
+
+def test_csv_columns_by_header_name(spark, tmp_path):
+    (tmp_path / "A_reviews.csv").write_text('airline,review_text,extra\nA,"x, ""y""\nz",1\n', encoding="utf-8")
+    (tmp_path / "B_reviews.csv").write_text("review_text,airline\ntext,B\n", encoding="utf-8")
+    (tmp_path / "C_reviews.csv").write_text("\ufeffairline\nC\n", encoding="utf-8")
+    got = read_csv_folder(spark, str(tmp_path), ["airline", "review_text"])
+    assert rows(got) == [("A", 'x, "y"\nz', "A_reviews.csv"), ("B", "text", "B_reviews.csv"), ("C", None, "C_reviews.csv")]
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert read_csv_folder(spark, str(empty), ["airline"]).collect() == []
+
+
+def test_entity_csv_comes_back_by_partition(spark, tmp_path):
+    df = spark.createDataFrame([("Air Canada", "a"), ("Qatar", None)], "airline string, review_text string")
+    write_entity_csv(df, "airline", str(tmp_path / "out"))
+    got = read_csv_folder(spark, str(tmp_path / "out"), ["review_text", "airline"])
+    assert rows(got) == [("a", "Air Canada", "Air_Canada_reviews.csv"), (None, "Qatar", "Qatar_reviews.csv")]
+
+
+def test_written_table_reads_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id long, t string")
+    write_table(df, str(tmp_path / "t"))
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == [(1, "a")]
