@@ -9,11 +9,13 @@ from revlens.operators.retrieve import topk_cosine
 from revlens.operators.stats import file_stats
 from revlens.operators.transcript import fold_runs, response_status
 from revlens.operators.understand import validate
+from revlens.plans.answer import AnswerConfig, index_documents
 from revlens.plans.build_index import build_index
 from revlens.plans.collect_clean import collect
 from revlens.session import scratch_path
 from revlens.sources.csv import read_csv_folder, write_entity_csv, write_table
 from revlens.sources.index import upsert
+from revlens.streaming.answer_stream import answer_batch
 from revlens.streaming.fold_stream import fold_numbers
 from tests.fixtures import PAGE_TWO
 
@@ -147,3 +149,29 @@ def test_written_table_reads_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "id long, t string")
     write_table(df, str(tmp_path / "t"))
     assert rows(spark.read.parquet(str(tmp_path / "t"))) == [(1, "a")]
+
+
+def test_audit_rows_have_matches_status_and_apology(spark):
+    docs = spark.createDataFrame([(1, "good seat", "x"), (2, "bad seat", "x"), (3, "else", "y")], "doc_id long, text string, entity string")
+    asked = spark.createDataFrame([("a", "x seat"), ("b", "x boom"), ("c", "nothing"), ("d", "y unusable")], "query_id string, text string")
+
+    def embedder(df, text, out):
+        one = F.array(F.lit(1.0), F.when(F.col(text).contains("bad"), 0.5).otherwise(0.1))
+        return df.withColumn(out, F.when(F.col(text).contains("unusable"), F.lit(None)).otherwise(one))
+
+    def make_generator():
+        def run(prompts):
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("no")
+            return ["fine" for _ in prompts]
+
+        return run
+
+    cfg = AnswerConfig(vocab=["x", "y"], supported=["x", "y"], k=2, dim=2, embedder=embedder)
+    index = index_documents(docs, "doc_id", "text", "entity", cfg)
+    out = answer_batch(asked, index, cfg, q_id_col="query_id", q_text_col="text", doc_id_col="doc_id", doc_text_col="text", entity_col="entity", make_generator=make_generator)
+    got = {r.query_id: r for r in out.collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "ok", "b": "error", "c": "no_filter", "d": "retrieval_error"}
+    assert got["b"].response == cfg.apology and got["a"].response == "fine"
+    assert [(m.id, m.metadata.text) for m in got["a"].matches] == [(1, "good seat"), (2, "bad seat")] and got["c"].matches is None
+    assert got["a"].matches[0].score >= got["a"].matches[1].score
