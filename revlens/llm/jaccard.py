@@ -11,11 +11,11 @@ similarity is at least ``similarity`` percent; the result is each document's con
    share one), the class, its size and the shingle's position.  A list is sorted by size and cut into
    blocks that carry the most that can still follow a position; a set skips whole blocks by size and
    by position.
-4. Answers are derived from those of similar sets: the first passes join each list's sets with one
-   other only, a centre and then one of the list's largest component.  A set linked to it has its
-   component, so that pairs in one component are never asked for again; the last pass asks for all
-   pairs of a list that are still apart, and the verified ones complete the components.  Every link
-   between different texts is thus either verified or implied; nothing is capped.
+4. Answers are derived from those of similar sets: the first pass joins each list's sets with one or
+   two others only.  A set linked to another has its component, so that pairs in one component are
+   never asked for again; the second pass asks for all pairs of a list that are still apart, and the
+   verified ones complete the components.  Every link between different texts is thus either
+   verified or implied; nothing is capped.
 
 Defined cases: a null text or one without words has no set and is its own component; with fewer words
 than a shingle the whole sequence is one shingle; rows that share a number are separate documents
@@ -37,6 +37,7 @@ WIDTH = 5
 SIMILARITY = 75
 LEVELS = 1
 SKIP = 64  # sets in a block of an index list
+FAMILY = 8  # longer lists are worth a second pair for each set before all open pairs are asked for
 ROWS = "block long, row long, doc_id long, n_shingles long, node binary, alone long, rest binary"
 PAIRS = "a binary, b binary"
 
@@ -169,47 +170,31 @@ def _pairs(found: list[np.ndarray], node: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
-def _centre_pairs(similarity: int):
-    """Each set of a list with a centre: the smallest set, then the smallest of those whose size no
-    earlier centre can link."""
-
-    def run(t: pa.Table) -> pa.Table:
-        shingle, pos, who, n, node, label, lists = _lists(t)
-        found = []
-        for a, z in lists:
-            while z - a > 1:
-                near = a + int(np.searchsorted(n[who[a:z]] * similarity, n[who[a]] * 100, "right"))
-                other = who[a + 1 : near]
-                if len(other):
-                    found.append(np.stack([np.full(len(other), who[a]), other], 1))
-                a = near
-        return _pairs(found, node)
-
-    return run
-
-
-def _neighbour_pairs(similarity: int):
-    """Each set of a list that is not in the list's largest component with one set of that component
-    whose size can link, another one in every list: over its lists a set meets many of the component,
-    and one link is enough."""
+def _first_pairs(similarity: int):
+    """Each set of a list with a centre (the smallest set, then the smallest of those whose size no
+    earlier centre can link), and with another set that its size can link, a different one in every
+    list: sets of a loose family, which no centre links, meet several of its members that way."""
 
     def run(t: pa.Table) -> pa.Table:
         shingle, pos, who, n, node, label, lists = _lists(t)
         found = []
         for a, z in lists:
             w = who[a:z]
-            mark = label[w]
-            kinds, count = np.unique(mark, return_counts=True)
-            major = kinds[np.argmax(count)]
-            have, other = np.flatnonzero(mark == major), np.flatnonzero(mark != major)
             size = n[w]  # ascending
-            low = np.searchsorted(size[have] * 100, size[other] * similarity)
-            high = np.searchsorted(size[have] * similarity, size[other] * 100, "right")
-            fits = high > low
             turn = int(mix(shingle[a : a + 1])[0] >> U(33))
-            near = have[(low + (turn + np.arange(len(other))) % np.maximum(high - low, 1))[fits]]
-            if fits.any():
-                found.append(np.stack([w[near], w[other[fits]]], 1))
+            if len(w) > FAMILY:
+                i = np.arange(len(w))
+                low = np.searchsorted(size * 100, size * similarity)
+                wide = np.searchsorted(size * similarity, size * 100, "right") - low
+                j = low + (i - low + 1 + turn % np.maximum(wide - 1, 1)) % wide  # any but itself
+                found.append(np.stack([w, w[j]], 1)[j != i])
+            at = 0
+            while len(w) - at > 1:
+                near = at + int(np.searchsorted(size[at:] * similarity, size[at] * 100, "right"))
+                other = w[at + 1 : near]
+                if len(other):
+                    found.append(np.stack([np.full(len(other), w[at]), other], 1))
+                at = near
         return _pairs(found, node)
 
     return run
@@ -266,14 +251,16 @@ def components(links: DataFrame) -> DataFrame:
     A round hangs a node's greater neighbours on its least neighbour, then its smaller ones, so that
     paths shrink geometrically; it ends when the edges stay as they are.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = _slim(edges).checkpoint()
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _slim(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()).checkpoint()
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         edges = small
         if now == state:
@@ -281,25 +268,28 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _slim(pairs: DataFrame) -> DataFrame:
+    """Pairs and links are a small part of what the shuffle is sized for: fewer, fuller partitions."""
+    return pairs.coalesce(max(1, B.parts(pairs.sparkSession) // 16))
+
+
 def _pair_up(classes: DataFrame, links: DataFrame | None, fn, similarity: int) -> DataFrame:
     """Distinct pairs that ``fn`` finds in the index lists, given the links so far."""
     if links is None:
         known = classes.withColumn("part", F.col("node"))
     else:
         known = classes.join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    return _postings(known, similarity).groupBy("bucket").applyInArrow(fn(similarity), PAIRS).distinct()
+    return _slim(_postings(known, similarity).groupBy("bucket").applyInArrow(fn(similarity), PAIRS).distinct())
 
 
 def _joined(blocks: DataFrame, width: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     """(block, row, doc_id, n_shingles, node, part, component_id) of every row."""
     rows = _rows(blocks, width, similarity, id_col, text_col).checkpoint()
     classes = rows.where("rest is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("alone").alias("alone"), F.first("rest").alias("rest")).checkpoint()
-    tried = _pair_up(classes, None, _centre_pairs, similarity).checkpoint()
+    tried = _pair_up(classes, None, _first_pairs, similarity).checkpoint()
     links = _verified(tried, classes, similarity).checkpoint()
-    for find in (_neighbour_pairs, _neighbour_pairs, _open_pairs):
-        more = _pair_up(classes, links, find, similarity).join(tried, ["a", "b"], "left_anti").checkpoint()
-        links = links.unionByName(_verified(more, classes, similarity)).checkpoint()
-        tried = tried.unionByName(more)
+    rest = _pair_up(classes, links, _open_pairs, similarity).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(rest, classes, similarity))
     # the smallest number of a component: first by set (copies), then by component
     by_set = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     by_set = by_set.join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
