@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.casts import (
-    DOUBLE_PATTERN, INT_PATTERN, MONTH_YEAR_PATTERN, month_year, safe_double, safe_int, yes_no,
+    month_year, safe_double, safe_int, yes_no,
 )
 from revlens.functions.text import NA_TOKENS, null_na_tokens, py_strip, replace_values, split_flag_body
 from revlens.operators.clean import drop_missing, impute_mean_by_group, metadata_struct
@@ -209,15 +209,16 @@ QUERIES = {
 
 
 def _sint(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, {sql_str(INT_PATTERN)}) THEN TRY_CAST({sql_strip(x)} AS BIGINT) END"
+    return f"CASE WHEN regexp_full_match({sql_strip(x)}, '[-+]?[0-9]+') THEN TRY_CAST({sql_strip(x)} AS BIGINT) END"
 
 
 def _sdbl(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, {sql_str(DOUBLE_PATTERN)}) THEN TRY_CAST({sql_strip(x)} AS DOUBLE) END"
+    number = "[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?"
+    return f"CASE WHEN regexp_full_match({sql_strip(x)}, '{number}') THEN TRY_CAST({sql_strip(x)} AS DOUBLE) END"
 
 
 def _my(x: str) -> str:
-    return (f"CASE WHEN regexp_matches({x}, {sql_str(MONTH_YEAR_PATTERN)}) "
+    return (f"CASE WHEN regexp_full_match({x}, '[[:alpha:]]+ [0-9][0-9][0-9][0-9]') "
             f"THEN CAST(try_strptime({x}, '%B %Y') AS DATE) END")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.casts import month_year, safe_double, safe_int, yes_no
 from revlens.functions.text import NA_TOKENS, file_name_for, null_na_tokens, py_strip, split_flag_body
-from revlens.operators.understand import parse_model_json, vocab_match
+from revlens.operators.understand import parse_model_json, route_match, vocab_match
 
 
 def _one(spark, values, expr_fn, schema="s string"):
@@ -74,10 +74,10 @@ def test_model_json_cases(spark):
         assert r["got"] == r["want"]
 
 
-def test_vocab_match_earliest_then_longest(spark):
+def test_vocab_match_longest_then_earliest(spark):
     vocab = ["red widget", "widget", ("blue", "Blue")]
     vals = ["a red widget", "widget red widget", "BLUE and red widget", "widgets", None]
-    assert _one(spark, vals, lambda c: vocab_match(c, vocab)) == ["red widget", "widget", "Blue", None, None]
+    assert _one(spark, vals, lambda c: vocab_match(c, vocab)) == ["red widget", "red widget", "red widget", None, None]
 
 
 def test_extract_with_model(spark):
@@ -107,3 +107,14 @@ def test_extract_with_model(spark):
            for r in res.collect()}
     assert got == {1: ("Emirates", "Emirates", False), 2: ("Qantas", None, False), 3: (None, None, False),
                    4: (None, None, True)}
+
+
+def test_longest_match_wins_wherever_it_stands(spark):
+    vocab = ["york", "new york", "york city hall", "paris"]
+    texts = ["york or New York", "in new york city hall", "paris then york", "Paris, new york", "newyork"]
+    assert _one(spark, texts, lambda c: vocab_match(c, vocab)) == ["new york", "york city hall", "paris", "new york", None]
+
+
+def test_route(spark):
+    texts = ["How is the flight from Doha  to New York?", "from A to B, please", "nothing", None, "fromage to go", "from here"]
+    assert _one(spark, texts, route_match) == ["Doha to New York", "A to B", None, None, None, None]
