@@ -5,20 +5,14 @@ folds a streamed answer into chat messages: a chunk joins the last message if
 that one is an answer, else it starts a new one; a user message always starts
 a new message.  End markers close a response as complete or failed.
 
-Two physical forms for the order-dependent steps:
+Two physical forms for the order-dependent steps, which give the same rows for
+every input (NULL keys and NULL types are values of their own in either):
 
-* ``strategy="window"``: ``lag`` / running ``count`` over a window partitioned
-  by conversation - one shuffle, but one task per conversation;
-* ``strategy="ranged"``: ranks from range-partitioned global numbering
-  (:mod:`revlens.operators.ordered`) and the gaps-and-islands identity, so a
+* ``strategy="ranged"`` (default): one range partitioning on key and order with
+  carried counts (:func:`revlens.operators.ordered.with_running_count`), so a
   conversation holding a large share of all rows is spread over many tasks;
-  only partial aggregates and equi-joins follow.
-* ``strategy="auto"`` (default): measure the largest key first (a partial
-  count per key, one number to the driver) and use the window form only when
-  every key stays below ``max_window_rows``.
-
-Both forms give the same rows for every input: NULL keys and NULL types are
-values of their own in either.
+* ``strategy="window"``: ``lag`` and a running sum over a window partitioned by
+  conversation - one shuffle, but one task per conversation.
 """
 
 from __future__ import annotations
@@ -28,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.operators.ordered import with_group_row_number
+from revlens.operators.ordered import with_running_count
 
 
 def ordered_concat(text_col: str, order_cols: Sequence[str], sep: str = "") -> Column:
@@ -39,34 +33,18 @@ def ordered_concat(text_col: str, order_cols: Sequence[str], sep: str = "") -> C
     return F.array_join(F.transform(pairs, lambda x: x["t"]), sep)
 
 
-MAX_WINDOW_ROWS = 2_000_000
-
-
-def choose_strategy(df: DataFrame, key_cols: Sequence[str], strategy: str,
-                    max_window_rows: int = MAX_WINDOW_ROWS) -> str:
-    """Resolve ``auto``: ``window`` when the largest key has at most
-    ``max_window_rows`` rows, else ``ranged``."""
-    if strategy != "auto":
-        return strategy
-    largest = df.groupBy(*key_cols).count().agg(F.max("count")).first()[0]
-    return "window" if (largest or 0) <= max_window_rows else "ranged"
-
-
-def _ranks(df: DataFrame, key_cols, order_cols, class_col: str | None, strategy: str) -> DataFrame:
-    """Add ``_rn`` (rank in key order) and, with ``class_col``, ``_rc`` (rank
-    among rows of the same class within the key)."""
-    key_cols, order_cols = list(key_cols), list(order_cols)
-    if strategy == "window":
-        w = Window.partitionBy(*key_cols).orderBy(*order_cols)
-        out = df.withColumn("_rn", F.row_number().over(w) - 1)
-        if class_col:
-            wc = Window.partitionBy(*key_cols, class_col).orderBy(*order_cols)
-            out = out.withColumn("_rc", F.row_number().over(wc) - 1)
-        return out
-    out = with_group_row_number(df, key_cols, order_cols, "_rn")
-    if class_col:
-        out = with_group_row_number(out, [*key_cols, class_col], order_cols, "_rc")
-    return out
+def _running(df: DataFrame, key_cols, order_cols, flag: Column, change_col: str | None, strategy: str) -> DataFrame:
+    """Add ``_run``: the key's rows up to this one that start something."""
+    if strategy == "ranged":
+        return with_running_count(df, key_cols, order_cols, flag, change_col, "_run")
+    if strategy != "window":
+        raise ValueError(f"unknown strategy {strategy}")
+    w = Window.partitionBy(*key_cols).orderBy(*order_cols)
+    start = F.coalesce(flag, F.lit(False))
+    if change_col:
+        start = start | (F.row_number().over(w) == 1) | ~F.col(f"`{change_col}`").eqNullSafe(F.lag(f"`{change_col}`").over(w))
+    out = df.withColumn("_start", start.cast("bigint"))
+    return out.withColumn("_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
 
 
 def fold_runs(
@@ -76,7 +54,7 @@ def fold_runs(
     type_col: str,
     aggs: Sequence[Column],
     always_new: Sequence[str] = (),
-    strategy: str = "auto",
+    strategy: str = "ranged",
     msg_col: str = "msg_no",
 ) -> DataFrame:
     """Merge consecutive rows of the same type into one message per run.
@@ -87,21 +65,9 @@ def fold_runs(
     columns the aggregates need first: the ranged form checkpoints its input.
     """
     key_cols = list(key_cols)
-    strategy = choose_strategy(df, key_cols, strategy)
-    ranked = _ranks(df, key_cols, order_cols, type_col, strategy)
     single = F.col(type_col).isin(list(always_new)) if always_new else F.lit(False)
-    # Within a run of one type both ranks grow by one per row, so their
-    # difference is constant per run and differs between runs of that type.
-    island = F.when(single, -1 - F.col("_rn")).otherwise(F.col("_rn") - F.col("_rc"))
-    runs = ranked.withColumn("_island", island).groupBy(*key_cols, type_col, "_island").agg(
-        F.min("_rn").alias("_start"), *aggs
-    )
-    if strategy == "window":
-        w = Window.partitionBy(*key_cols).orderBy("_start")
-        numbered = runs.withColumn(msg_col, F.row_number().over(w) - 1)
-    else:
-        numbered = with_group_row_number(runs, key_cols, ["_start"], msg_col)
-    return numbered.drop("_island", "_start")
+    runs = _running(df, key_cols, order_cols, single, type_col, strategy)
+    return runs.withColumn(msg_col, F.col("_run") - 1).groupBy(*key_cols, type_col, msg_col).agg(*aggs)
 
 
 def response_status(
@@ -112,7 +78,7 @@ def response_status(
     end_kind: str,
     error_kind: str,
     aggs: Sequence[Column] = (),
-    strategy: str = "auto",
+    strategy: str = "ranged",
 ) -> DataFrame:
     """One row per response: ``key_cols, response_no, status, n_chunks`` + aggs.
 
@@ -122,18 +88,14 @@ def response_status(
     rows are not chunks.
     """
     key_cols = list(key_cols)
-    strategy = choose_strategy(df, key_cols, strategy)
     is_marker = F.coalesce(F.col(kind_col).isin([end_kind, error_kind]), F.lit(False))  # a NULL kind is a chunk
-    marked = df.withColumn("_marker", is_marker)
-    ranked = _ranks(marked, key_cols, order_cols, "_marker", strategy)
-    # markers before a chunk = its rank - its rank among chunks; a marker's
-    # own rank among markers is the number of markers before it.
-    resp = F.when(F.col("_marker"), F.col("_rc")).otherwise(F.col("_rn") - F.col("_rc"))
+    marked = _running(df.withColumn("_marker", is_marker), key_cols, order_cols, F.col("_marker"), None, strategy)
+    resp = F.col("_run") - F.col("_marker").cast("bigint")  # markers before the row
     closing = F.max(
         F.when(F.col(kind_col) == end_kind, F.lit(2)).when(F.col(kind_col) == error_kind, F.lit(1))
     )
     return (
-        ranked.withColumn("response_no", resp)
+        marked.withColumn("response_no", resp)
         .groupBy(*key_cols, "response_no")
         .agg(closing.alias("_close"), F.count_if(~F.col("_marker")).alias("n_chunks"), *aggs)
         .withColumn(

@@ -175,3 +175,25 @@ def test_audit_rows_have_matches_status_and_apology(spark):
     assert got["b"].response == cfg.apology and got["a"].response == "fine"
     assert [(m.id, m.metadata.text) for m in got["a"].matches] == [(1, "good seat"), (2, "bad seat")] and got["c"].matches is None
     assert got["a"].matches[0].score >= got["a"].matches[1].score
+
+
+def test_running_counts_over_many_ranges(spark):
+    """Runs and keys that span ranges, single rows per range, ties of type across keys."""
+    import random
+
+    from revlens.operators.ordered import with_running_count
+
+    rng = random.Random(3)
+    data = [(rng.choice([1, 1, 1, 2, None]), i, rng.choice(["a", "a", "a", "b", None]), rng.random() < 0.1) for i in range(400)]
+    df = spark.createDataFrame(data, "k int, s int, t string, f boolean").repartition(5)
+    for change in ("t", None):
+        want, state = [], {}
+        for k, s, t, f in data:
+            seen, last, count = state.get(k, (False, None, 0))
+            count += f or (change is not None and (not seen or t != last))
+            state[k] = (True, t, count)
+            want.append((k, s, count))
+        for n in (1, 7, 60, 400):
+            got = with_running_count(df, ["k"], ["s"], F.col("f"), change, "c", n).select("k", "s", "c")
+            assert rows(got) == sorted(want, key=str), (change, n)
+    assert with_running_count(df.limit(0), ["k"], ["s"], F.col("f"), "t").count() == 0
