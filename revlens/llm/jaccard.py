@@ -36,7 +36,11 @@ from revlens.llm.arrays import PLAIN, P_WORD, U, Texts, hash_spans, mix, run_sta
 WIDTH = 5
 SIMILARITY = 75
 LEVELS = 1
+#: Shingles are counted by 48 bits of their hashes: two that share them count as one that is shared,
+#: which keeps a set that might have been told apart, and never drops one.
+COUNTED = U(0xFFFFFFFFFFFF0000)
 SKIP = 64  # sets in a block of an index list
+FEW_PAIRS = 20_000
 FAMILY = 8  # longer lists are worth a second pair for each set before all open pairs are asked for
 ROWS = "block long, row long, doc_id long, n_shingles long, node binary, alone long, rest binary"
 PAIRS = "a binary, b binary"
@@ -71,7 +75,7 @@ def _distinct(s, row, names):
     """Distinct shingles of a block, the number of different sets with each, and each one's index."""
     _, one, same = np.unique(names.view([("a", U), ("b", U)]).reshape(-1), return_index=True, return_inverse=True)
     lead = one[same] == np.arange(len(names))
-    distinct, index = np.unique(s, return_inverse=True)
+    distinct, index = np.unique(s & COUNTED, return_inverse=True)
     return distinct, np.bincount(index, lead[row], len(distinct)).astype(np.uint32), index
 
 
@@ -182,11 +186,11 @@ def _first_pairs(similarity: int):
             w = who[a:z]
             size = n[w]  # ascending
             turn = int(mix(shingle[a : a + 1])[0] >> U(33))
-            if len(w) > FAMILY:
+            if len(w) > FAMILY and turn % 2 == 0:
                 i = np.arange(len(w))
                 low = np.searchsorted(size * 100, size * similarity)
                 wide = np.searchsorted(size * similarity, size * 100, "right") - low
-                j = low + (i - low + 1 + turn % np.maximum(wide - 1, 1)) % wide  # any but itself
+                j = low + (i - low + 1 + turn // 2 % np.maximum(wide - 1, 1)) % wide  # any but itself
                 found.append(np.stack([w, w[j]], 1)[j != i])
             at = 0
             while len(w) - at > 1:
@@ -241,6 +245,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFram
                 keep.append(100 * both >= similarity * (x + y - both))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    known = pairs.count()  # of a checkpoint
+    if known <= FEW_PAIRS:  # 32 bytes each: only the classes in question are shuffled
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        classes = classes.join(F.broadcast(nodes), "node", "left_semi")
     side = lambda k: classes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("rest").alias(f"r{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, PAIRS)
 
@@ -288,7 +296,7 @@ def _joined(blocks: DataFrame, width: int, similarity: int, id_col: str, text_co
     classes = rows.where("rest is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("alone").alias("alone"), F.first("rest").alias("rest")).checkpoint()
     tried = _pair_up(classes, None, _first_pairs, similarity).checkpoint()
     links = _verified(tried, classes, similarity).checkpoint()
-    rest = _pair_up(classes, links, _open_pairs, similarity).join(tried, ["a", "b"], "left_anti")
+    rest = _pair_up(classes, links, _open_pairs, similarity).join(tried, ["a", "b"], "left_anti").checkpoint()
     links = links.unionByName(_verified(rest, classes, similarity))
     # the smallest number of a component: first by set (copies), then by component
     by_set = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
