@@ -186,11 +186,11 @@ def _first_pairs(similarity: int):
             w = who[a:z]
             size = n[w]  # ascending
             turn = int(mix(shingle[a : a + 1])[0] >> U(33))
-            if len(w) > FAMILY and turn % 2 == 0:
+            if len(w) > FAMILY:
                 i = np.arange(len(w))
                 low = np.searchsorted(size * 100, size * similarity)
                 wide = np.searchsorted(size * similarity, size * 100, "right") - low
-                j = low + (i - low + 1 + turn // 2 % np.maximum(wide - 1, 1)) % wide  # any but itself
+                j = low + (i - low + 1 + turn % np.maximum(wide - 1, 1)) % wide  # any but itself
                 found.append(np.stack([w, w[j]], 1)[j != i])
             at = 0
             while len(w) - at > 1:
