@@ -1,13 +1,16 @@
 """License scans as an exact set-similarity join (dealt operator 5); DataFrame functions only.
 
-A template is the set of words of a licence's notice, a text block the set of words of one line or
-sentence.  A block matches a template when it holds at least ``containment`` of the template's words.
+A template is the set of words of a licence's notice.  A text block is the set of words of one line
+or sentence, or, as notices are wrapped (and "v. 2.0" ends no sentence), that of any consecutive words
+of the text, across lines and sentences, whose number is the notice's, plus as large a share as may be
+missing.  A block matches a template when it holds at least ``containment`` of the template's words.
 The template's words are ordered by how many documents of the corpus hold them (counted over all
 documents, rarest first): a match must hold one of the first |T| - need + 1 of them (prefix filter),
 must have at least ``need`` words (length filter), and from the rarest word of the prefix that it
 holds only that word and those after it can agree (positional filter); the exact intersection
-decides.  The templates are constants, so the index of prefixes is an expression of a row: nothing
-but the words' document counts is shuffled.
+decides.  A text that holds fewer than ``need`` of a template's words anywhere has no block to compare.
+The templates are constants, so the index of prefixes is an expression of a row: nothing but the words'
+document counts is shuffled.
 
 Phrases are found apart from that, wherever their words stand consecutively, in whole texts.
 
@@ -60,10 +63,14 @@ def document_counts(docs: DataFrame, tokens: list[str], text_col: str = "text")
     return {t: 0 for t in tokens} | {r["token"]: r["count"] for r in found.collect()}
 
 
+def _need(template: list[str], containment: float) -> int:
+    return -int(-containment * len(template) // 1)
+
+
 def _containment(blocks: Column, template: list[str], containment: float) -> Column:
-    """The largest share of the template (rarest word first) that a block holds, 0 below the threshold."""
+    """The largest share of the template (rarest word first) that a line or sentence holds, 0 below the threshold."""
     n = len(template)
-    need = -int(-containment * n // 1)
+    need = _need(template, containment)
     prefix = _strings(template[: n - need + 1])
 
     def share(b: Column) -> Column:
@@ -76,6 +83,19 @@ def _containment(blocks: Column, template: list[str], containment: float) -> Col
     return F.coalesce(F.array_max(F.transform(blocks, share)), F.lit(0.0))
 
 
+def _wrapped(hits: Column, template: list[str], width: int, containment: float) -> Column:
+    """The same for ``width`` consecutive words anywhere.  ``hits`` are the template's words in the text
+    with their places; the words from a hit on are the best ones of those that hold it first."""
+    n = len(template)
+
+    def share(h: Column, k: Column) -> Column:
+        near = F.filter(F.slice(hits, k + 1, width), lambda g: g["place"] < h["place"] + width)
+        held = F.size(F.array_distinct(F.transform(near, lambda g: g["word"])))
+        return F.when(held >= _need(template, containment), held / F.lit(float(n))).otherwise(F.lit(0.0))
+
+    return F.coalesce(F.array_max(F.transform(hits, share)), F.lit(0.0))
+
+
 def _places(spaced: Column, phrase: str, n_words: Column) -> tuple[Column, Column, Column]:
     """Number of a phrase's places, and its first and last start (in words).  Every word stands
     between spaces of its own, so that places share no sign."""
@@ -91,13 +111,13 @@ def _places(spaced: Column, phrase: str, n_words: Column) -> tuple[Column, Colum
 def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score (which
     replace columns of these names)."""
-    sets = {k: sorted(set(v.split())) for k, v in (templates or TEMPLATES).items()}
+    notices = {k: v.split() for k, v in (templates or TEMPLATES).items()}
+    sets = {k: sorted(set(v)) for k, v in notices.items()}
     vocabulary = sorted({t for x in sets.values() for t in x})
     names_in, text_at = docs.columns, docs.columns.index(text_col)
     docs, text_col = docs.toDF(*(f"c{i}" for i in range(len(names_in)))), f"c{text_at}"  # names may differ in case only
     count = document_counts(docs, vocabulary, text_col)
     sets = {k: sorted(x, key=lambda t: (count[t], t)) for k, x in sets.items()}
-    prefixes = sorted({t for x in sets.values() for t in x[: len(x) + int(-containment * len(x) // 1) + 1]})
 
     out = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [f"c{i}" for i, c in enumerate(names_in) if c not in out]
@@ -106,11 +126,20 @@ def scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | No
     n_words = F.size("__words").cast("long")
     rarely = F.col("__low").rlike("license|cc[^0-9a-z]+by")
     spaced = F.when(rarely, F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" "))).otherwise(F.lit(""))
-    blocks = F.when(F.arrays_overlap("__words", _strings(prefixes)), F.transform(F.split("__low", BLOCK_END), lambda x: F.array_distinct(words(x)))).otherwise(F.array().cast("array<array<string>>"))
-    df = df.select(*kept, n_words.alias("n_words"), spaced.alias("__spaced"), blocks.alias("__blocks"))
+    df = df.select(*kept, n_words.alias("n_words"), spaced.alias("__spaced"), "__low", "__words", F.array_intersect("__words", _strings(vocabulary)).alias("__held"))
+
+    able = {k: F.size(F.array_intersect("__held", _strings(x))) >= _need(x, containment) for k, x in sets.items()}
+    df = df.select("*", *(c.alias(f"__able{i}") for i, c in enumerate(able.values())))
+    able = {k: F.col(f"__able{i}") for i, k in enumerate(sets)}
+    blocks = F.when(F.greatest(*able.values(), F.lit(False)), F.transform(F.split("__low", BLOCK_END), words)).otherwise(F.array().cast("array<array<string>>"))
+    placed = F.transform("__words", lambda w, i: F.struct(i.alias("place"), w.alias("word")))
+    among = lambda x: F.filter(placed, lambda h: h["word"].isin(x))
+    hits = {k: F.when(able[k], among(x)) for k, x in sets.items()}
+    df = df.select(*kept, "n_words", "__spaced", blocks.alias("__blocks"), *(c.alias(f"__hits{i}") for i, c in enumerate(hits.values())))
 
     places = {label: _places(F.col("__spaced"), phrase, F.col("n_words")) for phrase, label in PHRASES.items()}
-    shares = {label: _containment(F.col("__blocks"), x, containment) for label, x in sets.items()}
+    width = {k: -int(-len(v) / containment // 1) for k, v in notices.items()}
+    shares = {k: F.greatest(_containment(F.col("__blocks"), x, containment), _wrapped(F.col(f"__hits{i}"), x, width[k], containment)) for i, (k, x) in enumerate(sets.items())}
     names = list(places)
     df = df.select(
         *kept,

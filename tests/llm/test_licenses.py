@@ -54,3 +54,31 @@ def test_native(spark, capsys):
 
 def test_empty(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
+
+
+#: The notices in their standard wording, wrapped as in sources; labels of phrases come on top.
+WRAPPED = {
+    "apache": "/* Licensed under the Apache\n * License, Version 2.0 (the \"License\");\n * you may not use this file */",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n",
+    "cc-by-nc": "This work is licensed\nunder CC BY-NC\n4.0.",
+    "cc-by-sa": "This work is licensed\nunder CC BY-SA\n4.0.",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public\r\n# License as published by\n# the Free Software Foundation, either version 3",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy",
+    "unlicense": "This is free and unencumbered software released into the\npublic domain.",
+}
+PHRASED = {"apache": "apache", "cc-by-nc": "cc-by,cc-by-nc", "cc-by-sa": "cc-by,cc-by-sa"}
+
+
+def test_wrapped_notices(spark):
+    assert WRAPPED.keys() == licenses.TEMPLATES.keys()
+    rows = []
+    for i, (label, notice) in enumerate(WRAPPED.items()):
+        rows += [(10 * i, notice), (10 * i + 1, "The and of.\n" * 300 + notice + "\nof the" * 300)]
+        loose = (" x" * 9 + " ").join(licenses.TEMPLATES[label].split())
+        rows += [(10 * i + 2, loose.replace(" ", "\n"))]  # its words, but too far apart
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(slim(spark, rows)).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert got[10 * i] == got[10 * i + 1] == (PHRASED.get(label, label), 1.0), label
+        assert got[10 * i + 2] == ("", 0.0), label
