@@ -82,3 +82,14 @@ def test_wrapped_notices(spark):
     for i, label in enumerate(WRAPPED):
         assert got[10 * i] == got[10 * i + 1] == (PHRASED.get(label, label), 1.0), label
         assert got[10 * i + 2] == ("", 0.0), label
+
+
+def test_every_matching_block(spark):
+    bsd, mpl = licenses.TEMPLATES["bsd"], licenses.TEMPLATES["mpl"]
+    n = len(set(bsd.split()))
+    part = " ".join(w for w in bsd.split() if w != "source")
+    rows = [(1, f"x\n{bsd}\nx\n{part}\n" + "x " * 40 + f"\n{WRAPPED['bsd']}\n{mpl}. The end"), (2, WRAPPED["mpl"]), (3, "none"), (4, None)]
+    got = [tuple(r) for r in licenses.matches(slim(spark, rows)).orderBy("doc_id", "block").collect()]
+    assert [r[:4] for r in got if r[0] == 1] == [(1, 1, 1, "bsd"), (1, 3, 3, "bsd"), (1, 5, 7, "bsd"), (1, 9, 9, "mpl")]
+    assert [r[4] for r in got] == [1.0, (n - 1) / n, 1.0, 1.0, 1.0]
+    assert [r[:4] for r in got if r[0] != 1] == [(2, 0, 1, "mpl")]
