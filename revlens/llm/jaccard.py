@@ -1,7 +1,8 @@
 """N-gram Jaccard join with set-relation skipping (dealt operator 6).
 
 A document's set is its distinct word shingles.  Two documents link when their sets' Jaccard
-similarity is at least ``similarity`` percent; the result is each document's connected component.
+similarity is at least ``similarity`` percent; the result is each document's connected component, its
+class (documents of equal sets) and, from ``links``, how many other classes it links to.
 
 1. Blocks send their distinct shingles with the number of different sets that hold them; ranges
    return a rarity level (0: one set only).  A shingle of one set cannot be shared, so a set with too
@@ -14,8 +15,11 @@ similarity is at least ``similarity`` percent; the result is each document's con
 4. Answers are derived from those of similar sets: the first pass joins each list's sets with one or
    two others only.  A set linked to another has its component, so that pairs in one component are
    never asked for again; the second pass asks for all pairs of a list that are still apart, and the
-   verified ones complete the components.  Every link between different texts is thus either
-   verified or implied; nothing is capped.
+   verified ones complete the components.  That is enough for connectivity; nothing is capped.
+5. A set's partners are all in its component, so every pair of a component is judged there.  A
+   component is dealt into groups of bounded size and each pair of groups is one task's work: sets are
+   held as differences from one of them, |A & B| = |C| - |C - A| - |C - B| + the differences that A
+   and B share, so that shingles in which at most one set differs cost nothing.
 
 Defined cases: a null text or one without words has no set and is its own component; with fewer words
 than a shingle the whole sequence is one shingle; rows that share a number are separate documents
@@ -42,6 +46,10 @@ COUNTED = U(0xFFFFFFFFFFFF0000)
 SKIP = 64  # sets in a block of an index list
 FEW_PAIRS = 20_000
 FAMILY = 8  # longer lists are worth a second pair for each set before all open pairs are asked for
+GROUP = 256  # classes of a component that are compared with as many others at a time
+GROUP_ITEMS = 1 << 17  # and their shingles
+COLUMNS = 4096
+PACKED = "part binary, chunk int, chunks int, body binary, counts binary"
 ROWS = "block long, row long, doc_id long, n_shingles long, node binary, alone long, rest binary"
 PAIRS = "a binary, b binary"
 
@@ -290,8 +298,111 @@ def _pair_up(classes: DataFrame, links: DataFrame | None, fn, similarity: int) -
     return _slim(_postings(known, similarity).groupBy("bucket").applyInArrow(fn(similarity), PAIRS).distinct())
 
 
-def _joined(blocks: DataFrame, width: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
-    """(block, row, doc_id, n_shingles, node, part, component_id) of every row."""
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every one of b."""
+    both = a + b
+    size, n = np.array([len(x) for x in both], np.int64), len(both)
+    who = np.repeat(np.arange(n), size)
+    names, col = np.unique(np.concatenate(both), return_inverse=True)
+    centre = np.isin(names, a[0])
+    count = np.bincount(col, minlength=len(names))
+    agree = np.bincount(who, centre[col], n).astype(np.int64)
+    gone = len(a[0]) - agree
+    out = len(a[0]) - gone[: len(a), None] - gone[None, len(a) :]
+    used = np.flatnonzero(np.where(centre, n - count, count) >= 2)
+    at = np.full(len(names), -1)
+    at[used] = np.arange(len(used))
+    keep = at[col] >= 0
+    who, col = who[keep], at[col[keep]]
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    for start in range(0, len(used), COLUMNS):
+        own = centre[used[start : start + COLUMNS]]
+        x, z = np.searchsorted(col, [start, start + COLUMNS])
+        d = np.repeat(own[None, :].astype(np.float32), n, 0)
+        c = col[x:z] - start
+        d[who[x:z], c] = ~own[c]
+        out += (d[: len(a)] @ d[len(a) :].T).astype(np.int64)
+    return out
+
+
+def _linked(a, b, similarity: int) -> np.ndarray:
+    """Which of the sets of two groups (sizes, shingles) link."""
+    both, total = _shared(a[1], b[1]), a[0][:, None] + b[0][None, :]
+    return 100 * both >= similarity * (total - both)
+
+
+def _group_up(similarity: int):
+    """Sets sorted by component and group: a group's links within itself, and itself packed if there are others."""
+
+    def packed(key, rows) -> pa.RecordBatch:
+        part, chunk, chunks = key
+        node, n, rest = zip(*rows)
+        names, n, sets = np.frombuffer(b"".join(node), U), np.array(n, np.int64), [np.frombuffer(x, U) for x in rest]
+        links = _linked((n, sets), (n, sets), similarity)
+        np.fill_diagonal(links, False)
+        body = None
+        if chunks > 1:
+            distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+            body = B.dump(names, n, np.array([len(x) for x in sets], np.int64), distinct, at.astype(np.uint32), level=6)
+        return B.table(PACKED, [(part, chunk, chunks, body, B.dump(names, links.sum(1)))]).to_batches()[0]
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            cols = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "chunk", "chunks", "node", "n_shingles", "rest"))
+            for *now, node, n, rest in zip(*cols):
+                if held and now != key:
+                    yield packed(key, held)
+                    held = []
+                key = now
+                held.append((node, n, rest))
+        if held:
+            yield packed(key, held)
+
+    return run
+
+
+def _between(similarity: int):
+    """Links between two groups of a component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        groups = []
+        for x in t["body"]:
+            names, n, size, distinct, at = B.load(x.as_py())
+            groups.append((names, n, np.split(distinct[at], np.cumsum(size)[:-1])))
+        if len(groups) < 2:  # the other group has no sets
+            return B.table("counts binary", [])
+        (names_a, *a), (names_b, *b) = groups
+        links = _linked(a, b, similarity)
+        return B.table("counts binary", [(B.dump(names_a, links.sum(1)),), (B.dump(names_b, links.sum(0)),)])
+
+    return run
+
+
+def _link_counts(classes: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
+    """(node, n_links) for every class of a component: how many other classes it links to."""
+    parts = B.parts(classes.sparkSession)
+    small = classes.select("node", "n_shingles").join(found, "node")
+    size = small.groupBy("part").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n_shingles") / GROUP_ITEMS)).cast("int").alias("chunks"))
+    place = small.join(size, "part").select("node", "part", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int").alias("chunk"), "chunks")
+    dealt = classes.select("node", "n_shingles", "rest").join(place, "node").repartition(parts, "part", "chunk").sortWithinPartitions("part", "chunk")
+    packed = dealt.mapInArrow(_group_up(similarity), PACKED).checkpoint()
+    other = packed.where("chunks > 1").select("part", "chunk", "body", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).where("other <> chunk")
+    pairs = other.select("part", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "body")
+    counts = packed.select("counts").unionByName(pairs.groupBy("part", "lo", "hi").applyInArrow(_between(similarity), "counts binary"))
+
+    def rows(batches):
+        for b in batches:
+            for x in b.column(0):
+                names, n = B.load(x.as_py())
+                yield from B.table("node binary, n long", [(x.tobytes(), k) for x, k in zip(names.reshape(-1, 2), n.tolist())]).to_batches()
+
+    return counts.mapInArrow(rows, "node binary, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
+def _joined(blocks: DataFrame, width: int, similarity: int, id_col: str, text_col: str, counted: bool = False) -> DataFrame:
+    """(block, row, doc_id, n_shingles, node, part, component_id) of every row, and n_links if ``counted``."""
     rows = _rows(blocks, width, similarity, id_col, text_col).checkpoint()
     classes = rows.where("rest is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("alone").alias("alone"), F.first("rest").alias("rest")).checkpoint()
     tried = _pair_up(classes, None, _first_pairs, similarity).checkpoint()
@@ -300,10 +411,15 @@ def _joined(blocks: DataFrame, width: int, similarity: int, id_col: str, text_co
     links = links.unionByName(_verified(rest, classes, similarity))
     # the smallest number of a component: first by set (copies), then by component
     by_set = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    by_set = by_set.join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    found = components(links)
+    by_set = by_set.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
     by_part = by_set.groupBy("part").agg(F.min("first_id").alias("component_id"))
     ids = by_set.join(by_part, "part").select("node", "part", "component_id")
+    if counted:
+        ids = ids.join(_link_counts(classes, found, similarity), "node", "left")
     out = rows.drop("alone", "rest").join(ids, "node", "left")
+    if counted:
+        out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
@@ -313,6 +429,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return _joined(blocks, width, similarity, id_col, text_col).select("doc_id", "n_shingles", "component_id", "node")
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """``joined`` and n_links, the number of other classes (nodes) that the document's own links to."""
+    blocks = B.pack(B.chosen(docs, id_col, text_col), text_col)
+    return _joined(blocks, width, similarity, id_col, text_col, True).select("doc_id", "n_shingles", "component_id", "node", "n_links")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """``docs``, all columns, with one row of each component: that of the smallest number (of rows
     that share it, the first read).  Rows without a set all stay."""

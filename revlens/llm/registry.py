@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from revlens.llm import bpe, decontaminate, jaccard, licenses, maxent, quality, rotate, substring_dedup, suffix_dedup, warc
 from revlens.llm.oracle import ORACLE  # noqa: F401
@@ -34,6 +35,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(load_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.links(load_table(spark, sf_dir, "documents"))
+    return out.withColumn("class_id", F.lower(F.hex("node"))).drop("node")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
 
@@ -50,5 +56,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(load_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_score, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_maxent_score, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op6_jaccard_links, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
 

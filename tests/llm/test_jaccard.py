@@ -98,3 +98,17 @@ def test_open_pairs_skip_blocks_only_where_no_link_can_be():
             if (part[i] != part[j]).any() and 100 * min(a, b) >= 75 * max(a, b) and left >= -(-75 * (a + b) // 175):
                 want.add(frozenset((node[i].tobytes(), node[j].tobytes())))
     assert {frozenset(p) for p in zip(got["a"].to_pylist(), got["b"].to_pylist())} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_links_and_classes(spark, small_blocks, monkeypatch, group):
+    """Also links between sets of one component that others connect, in one group and between groups."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rows = corpus() + family()
+    s = sets(rows)
+    link = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b)
+    want = sorted((last(i), len(x), sum(link(x, y) for y in set(s)) if x else 0) for (i, _), x in zip(rows, s))
+    out = jaccard.links(frame(spark, rows)).collect()
+    assert sorted((last(r.doc_id), r.n_shingles, r.n_links) for r in out) == want
+    assert len({r.node for r in out if r.node}) == len({x for x in s if x}) and all((r.node is None) == (r.n_shingles == 0) for r in out)
+    assert len({n for _, _, n in want}) > 3  # not every pair of a component links
