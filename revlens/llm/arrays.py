@@ -52,12 +52,17 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
-def hash_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint64, chunk: int = 1 << 19) -> np.ndarray:
-    """``span_hash`` of many spans, a stretch of values at a time (numbers of the stretch's length are held, not of all)."""
+def poly_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint64, chunk: int = 1 << 19) -> np.ndarray:
+    """``span_hash`` of many spans, a stretch of values at a time (numbers of the stretch's length are held, not of all).
+
+    A polynomial modulo 2**64: for spans of some tens of values, as windows of words (whose values are
+    mixed hashes themselves) or rolling triggers.  Long runs of few different values can collide, so
+    bytes of any length take ``hash_bytes``.
+    """
     out = np.empty(len(start), U)
     if len(start) > 1 and (start[1:] < start[:-1]).any():
         order = np.argsort(start, kind="stable")
-        out[order] = hash_spans(values, start[order], end[order], p, chunk)
+        out[order] = poly_spans(values, start[order], end[order], p, chunk)
         return out
     i = 0
     while i < len(start):
@@ -69,6 +74,85 @@ def hash_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uin
     return out
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as one number (zeros after the end)."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+#: Keeps the first k bytes of a number that was read from eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def _span_eights(eights: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """The spans' bytes, eight at a time: (numbers, position within the span, where each span begins)."""
+    n = np.maximum((size + 7) >> 3, 1)
+    begin = np.cumsum(n) - n
+    j = np.arange(int(n.sum())) - np.repeat(begin, n)
+    left = np.minimum(np.repeat(size, n) - 8 * j, 8)
+    return eights[np.repeat(start, n) + 8 * j] & _FIRST[left], j, begin
+
+
+def _stretches(size: np.ndarray, chunk: int):
+    """Spans i to k of about ``chunk`` bytes in all; a longer one is alone with those before it."""
+    ends, i = np.cumsum((size >> 3) + 1), 0
+    while i < len(size):
+        k = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (chunk >> 3), "right")))
+        yield i, k
+        i = k
+
+
+def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64, chunk: int = 1 << 22) -> np.ndarray:
+    """64-bit hashes of spans of bytes: a sum of mixed numbers of eight bytes, each under the key of its
+    position, so that no arrangement of the same bytes cancels out.  Seeds give hashes that do not depend
+    on each other."""
+    size, out, eights = end - start, np.empty(len(start), U), _eights(buf)
+    keys = mix((np.arange((int(size.max()) >> 3) + 1 if len(size) else 1, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15) + seed)
+    for i, k in _stretches(size, chunk):
+        v, j, begin = _span_eights(eights, start[i:k], size[i:k])
+        out[i:k] = mix(np.add.reduceat(mix(v ^ keys[j]), begin) + size[i:k].astype(U) * U(0xA24BAED4963EE407))
+    return out
+
+
+def same_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+    """True where the bytes [a, a_end) and [b, b_end) are the same: hashes propose, this decides."""
+    out = (a_end - a) == (b_end - b)
+    ask = np.flatnonzero(out & (a != b))
+    size, eights = (a_end - a)[ask], _eights(buf)
+    for i, k in _stretches(size, chunk):
+        at = ask[i:k]
+        x, _, begin = _span_eights(eights, a[at], size[i:k])
+        y, _, _ = _span_eights(eights, b[at], size[i:k])
+        out[at] = np.logical_and.reduceat(x == y, begin)
+    return out
+
+
+def exact_names(buf: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray):
+    """(sorted distinct names, one span of each, the name's index of every span).  Spans that share a
+    hash and are not the same bytes get names apart: the bytes decide, the hash only sorts."""
+    names, one, index = np.unique(name, return_index=True, return_inverse=True)
+    other = np.flatnonzero(~same_spans(buf, start, end, start[one][index], end[one][index]))
+    if len(other):
+        name, raw, given = name.copy(), buf.tobytes(), {}
+        taken = set(names.tolist())
+        for i in other.tolist():
+            key = (int(name[i]), raw[start[i] : end[i]])
+            if key not in given:
+                free = int(mix(name[i : i + 1] + U(len(given) + 1))[0])
+                while free in taken:
+                    free = (free + 1) % (1 << 64)
+                taken.add(free)
+                given[key] = free
+            name[i] = given[key]
+        names, one, index = np.unique(name, return_index=True, return_inverse=True)
+    return names, one, index
+
+
+def hash_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint64) -> np.ndarray:
+    """Hashes of spans of bytes, or of short spans of 64-bit numbers."""
+    return hash_bytes(values, start, end, p) if values.dtype == np.uint8 else poly_spans(values, start, end, p)
+
+
 def row_groups(off: np.ndarray, size: int = 1 << 19) -> list[tuple[int, int]]:
     """Rows a to b of about ``size`` bytes each; a longer row is alone with those before it."""
     out, a = [], 0
@@ -206,6 +290,12 @@ def spread(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(diff[:-1]) > 0
 
 
+def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices begin[i], begin[i] + 1, ... (size[i] of them) for all i, end to end."""
+    at = np.cumsum(size) - size
+    return np.repeat(begin - at, size) + np.arange(int(size.sum()))
+
+
 def run_starts(*keys: np.ndarray) -> np.ndarray:
     """True where a row of sorted keys differs from the one before."""
     out = np.ones(len(keys[0]), bool)

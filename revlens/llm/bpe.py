@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import P_BYTE, Texts, hash_spans
+from revlens.llm.arrays import P_BYTE, Texts, exact_names, gather, hash_spans
 
 SPACE, LETTER, NUMBER, OTHER, UNASSIGNED = 0, 1, 2, 3, 4
 #: White space of Unicode.
@@ -118,16 +118,10 @@ def _words(t: Texts, added: list[bytes]):
     """Distinct words of a block (hash, starts, ends), the word at each place, and rows' first words."""
     start, end, first = split_words(t, added)
     name = hash_spans(t.buf, start, end, P_BYTE)
-    names, one, index = np.unique(name, return_index=True, return_inverse=True)
+    names, one, index = exact_names(t.buf, start, end, name)
     return names, start[one], end[one], index, first
 
 
-def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices begin[i], begin[i] + 1, ... (size[i] of them) for all i, end to end."""
-    at = np.cumsum(size) - size
-    return np.repeat(begin - at, size) + np.arange(int(size.sum()))
-
-
 class Codec:
     """A tokenizer file's text, and what workers make of it (once each)."""
 
@@ -189,7 +183,7 @@ def encoded(blocks: DataFrame, held, finish, schema: str, text_col: str = "text"
         size, data = (np.concatenate(x) for x in zip(*bodies))
         off = np.append(0, np.cumsum(size.astype(np.int64)))
         name = hash_spans(data, off[:-1], off[1:], P_BYTE)
-        _, one, index = np.unique(name, return_index=True, return_inverse=True)
+        _, one, index = exact_names(data, off[:-1], off[1:], name)
         raw = data.tobytes()
         got = held.value.tokenizer().encode_batch_fast([raw[off[i] : off[i + 1]].decode("utf-8") for i in one], add_special_tokens=False)
         ids = [x.ids for x in got]

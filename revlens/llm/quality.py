@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import PLAIN, P_BYTE, P_BYTE2, Texts, byte_table, hash_spans, run_starts, spread, word_hash, words_of
+from revlens.llm.arrays import PLAIN, P_BYTE, U, Texts, byte_table, exact_names, hash_spans, mix, run_starts, spread, word_hash, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
@@ -89,18 +89,14 @@ def _equal_lines(t: Texts, inside: np.ndarray) -> np.ndarray:
     newline = np.flatnonzero(t.buf == 0x0A)
     start = np.sort(np.concatenate([t.off[:-1], newline + 1]))
     row = np.searchsorted(t.off[:-1], start, "right") - 1
-    # a row that ends with a line feed has an empty last line, which would begin where the next row does
-    empty_row = np.diff(t.off) == 0
     ends = np.append(start[1:], len(t.buf))
     end = np.where(np.isin(ends, newline + 1), ends - 1, ends)
     end = np.minimum(np.maximum(end, start), t.off[1:][row]) if len(start) else end
     worded = (np.append(0, np.cumsum(inside))[end] - np.append(0, np.cumsum(inside))[np.minimum(start, end)]) > 0
     start, end, row = start[worded], end[worded], row[worded]
-    del empty_row
-    a = hash_spans(t.buf, start, end, P_BYTE)
-    b = hash_spans(t.buf, start, end, P_BYTE2)
-    order = np.lexsort((b, a, row))
-    again = ~run_starts(row[order], a[order], b[order])
+    a = exact_names(t.buf, start, end, hash_spans(t.buf, start, end, P_BYTE))[2]
+    order = np.lexsort((a, row))
+    again = ~run_starts(row[order], a[order])
     return np.bincount(row[order][again], minlength=t.n)
 
 
@@ -108,7 +104,8 @@ def measure(column: pa.Array, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndar
     t = Texts.of(column)
     w = words_of(t, PLAIN)
     inside = PLAIN[t.buf]
-    best = longest_repeats(word_hash(t, w), w.doc)
+    names = exact_names(t.buf, w.start, w.end, word_hash(t, w))[2]
+    best = longest_repeats(mix(names.astype(U)), w.doc)
     n = len(best)
     again = np.flatnonzero(best >= SHINGLE)
     long = np.flatnonzero(best >= min_repeat)

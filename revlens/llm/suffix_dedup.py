@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import P_BYTE, P_BYTE2, U, Texts, cut_bytes, hash_spans, mix, row_groups, run_starts, shas
+from revlens.llm.arrays import P_BYTE, P_BYTE2, U, Texts, cut_bytes, hash_spans, mix, poly_spans, row_groups, run_starts, shas
 
 WIDTH = 50
 TRIGGER = 24
@@ -47,7 +47,7 @@ def _parse(t: Texts, width: int, trigger: int):
     if n < width:
         return None
     at = np.arange(n - trigger + 1)
-    h = hash_spans(t.buf, at, at + trigger, P_BYTE)
+    h = poly_spans(t.buf, at, at + trigger, P_BYTE)  # a rolling hash
     key = (h & U(0xFFFFFFFF00000000)) | at.astype(U)  # ties: the leftmost
     place = (_least(key, width - trigger + 1) & U(0xFFFFFFFF)).astype(np.int64)
     whole = np.ones(n - width + 1, bool)
