@@ -187,6 +187,71 @@ SELECT page_id, size::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM h
 """
 
+
+def _vector_codes(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Rounds of assignment and means, each a step of its own, every distance computed."""
+    nearest = """(SELECT x.vec_id, x.label, x.part, x.y, b.e,
+      list_inner_product(x.y, x.y) + list_inner_product(b.c, b.c) - 2 * list_inner_product(x.y, b.c) AS d
+    FROM x JOIN b{r} b ON b.part = x.part
+    QUALIFY row_number() OVER (PARTITION BY x.part, x.vec_id ORDER BY d, b.e) = 1)"""
+    steps = [f"""WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda z: floor(1024 * z::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+), x AS (
+  SELECT vec_id, label, p AS part, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS y FROM kept, range({parts}) AS parts(p)
+), b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, y AS c FROM x QUALIFY e < {entries}
+)"""]
+    for r in range(rounds):
+        steps.append(f""", a{r} AS {nearest.format(r=r)}, m{r} AS (
+  SELECT part, e, i, floor(sum(y[i]) / count(*)) AS m FROM (SELECT part, e, y, unnest(range(1, len(y) + 1)) AS i FROM a{r}) GROUP BY part, e, i
+), b{r + 1} AS (
+  SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT part, e, list(m ORDER BY i) AS c FROM m{r} GROUP BY part, e) m ON m.part = b.part AND m.e = b.e
+)""")
+    steps.append(f""", coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM {nearest.format(r=rounds)} GROUP BY vec_id
+), book AS (
+  SELECT sha256(string_agg(z::BIGINT::VARCHAR, ',' ORDER BY part, e, i)) AS sha FROM (SELECT part, e, unnest(c) AS z, generate_subscripts(c, 1) AS i FROM b{rounds})
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM coded, book""")
+    return "".join(steps)
+
+
+DIVERGENCE = (
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all("""
+    + LOWER
+    + r""", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (SELECT r, lang, source, unnest(terms) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS of_lang FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), v AS (SELECT lang, count(*) AS v, sum(of_lang)::HUGEINT AS lang_total FROM k GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL
+), tot AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(tot.total, 0) + v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.of_lang + 1)) // (v.lang_total + v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN tot ON tot.lang = g.lang AND tot.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+)
+
 ORACLE = {
     "op2_substring_dedup": SUBSTRING,
     "op5_license_scan": LICENSES,
@@ -194,4 +259,6 @@ ORACLE = {
     "op7_decontaminate": DECONTAMINATE,
     "op9_perspective_rotation": ROTATE,
     "op10_warc": WARC,
+    "op11_vector_codes": _vector_codes(),
+    "op12_source_divergence": DIVERGENCE,
 }

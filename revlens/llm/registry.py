@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.llm import bpe, decontaminate, jaccard, licenses, maxent, quality, rotate, substring_dedup, suffix_dedup, warc
+from revlens.llm import bpe, decontaminate, divergence, jaccard, licenses, maxent, packing, quality, rotate, substring_dedup, suffix_dedup, vector_codes, warc
 from revlens.llm.oracle import ORACLE  # noqa: F401
 from revlens.session import load_table
 
@@ -56,5 +56,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(load_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxent_score, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op6_jaccard_links, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(load_table(spark, sf_dir, "embeddings"))
 
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxent_score, op2_substring_dedup, op3_suffix_dedup, op4_quality, op5_license_scan, op6_jaccard_join, op6_jaccard_links, op7_decontaminate, op8_bpe, op9_perspective_rotation, op10_warc, op11_vector_codes, op12_source_divergence, op13_packing)}
