@@ -14,9 +14,10 @@
 
 Within a group no two bins that are left fit together, so at most one of them is half empty.
 
-Text is encoded by distinct runs of signs that are no white space: this tokenizer file drops white space
-and never joins across it, so a run's ids do not depend on its neighbours.  Files for which that does
-not hold are refused.
+Text is encoded by distinct words: the tokenizer file drops white space and cuts its pieces where letters,
+digits and signs meet, so a word's ids do not depend on its neighbours.  Words are cut there between
+plain ASCII letters, digits and signs only (next to other letters, to an apostrophe or to a sign of an
+added token the tokenizer decides).  Files that do not cut like this are refused.
 
 Defined cases: a null text is empty, and an empty text is its end id alone; rows that share a number,
 repeated ones too, are documents of their own (their pieces have the same doc_id and piece); a null
@@ -27,6 +28,7 @@ full sequence; an empty table gives an empty result.  Other columns, whatever th
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from functools import lru_cache
 
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import PLAIN, Texts, exact_names, gather, words_of, word_hash
+from revlens.llm.arrays import P_BYTE, Texts, exact_names, gather, hash_bytes
 from revlens.session import scratch_path
 
 SIZE = 2048
@@ -48,7 +50,9 @@ PIECES = 1 << 16
 GROUP = 1 << 14
 LEAST_GAIN = 0.01
 #: Ids of distinct words that a task keeps from one batch for the next.
-CACHE = 1 << 17
+CACHE = 1 << 19
+#: How the tokenizer file cuts text; white space is between the pieces.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ROWS = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill int"
 
 
@@ -71,8 +75,6 @@ class Encoder:
 
     @lru_cache(1)
     def tokenizer(self):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,31 +83,95 @@ class Encoder:
         t.no_padding()
         return t
 
-    def encode(self, column: pa.Array, cache: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    @lru_cache(1)
+    def classes(self) -> np.ndarray:
+        """Of every byte: 0 white space, 1 letter, 2 digit, 3 sign, 4 what the tokenizer has to look at."""
+        held = set("'") | {c for a in json.loads(self.text)["added_tokens"] for c in a["content"]}
+        kind = lambda c: 0 if c in " \t\n\v\f\r" else 1 if c.isalpha() else 2 if c.isdigit() else 3 if c.isprintable() and c not in held else 4
+        return np.array([kind(chr(i)) if i < 128 else 4 for i in range(256)], np.uint8)
+
+    def words(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words, and the index of each row's first one."""
+        kind, n = self.classes()[t.buf], len(t.buf)
+        edge = np.zeros(n + 1, bool)  # where a word may begin or end
+        edge[t.off] = True
+        if n:
+            a, b = kind[:-1], kind[1:]
+            edge[1:n] |= ((a != b) & ((a == 0) | (b == 0) | ((a < 4) & (b < 4)))) | ((a == 2) & (b == 2))
+        inside = kind > 0
+        start = np.flatnonzero(edge[:n] & inside)
+        end = np.flatnonzero(edge[1:] & inside) + 1
+        return start, end, np.searchsorted(start, t.off)
+
+    @lru_cache(1)
+    def ends(self) -> np.ndarray:
+        """Whether an id is the last one of a cut of the text."""
+        model = json.loads(self.text)["model"]
+        suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+        return out
+
+    def encode_words(self, words: list[bytes], plain: np.ndarray) -> list[np.ndarray]:
+        """Ids of words end to end, and their number for each.  ``plain`` words, which the tokenizer does not
+        cut, go through it by the hundred, with a space between: where a cut ends shows which ids are whose."""
+        run = lambda x: [np.array(g.ids, np.uint32) for g in self.tokenizer().encode_batch_fast(x, add_special_tokens=False)]
+        simple, size = np.flatnonzero(plain), np.zeros(len(words), np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *run([b" ".join([words[i] for i in simple[k : k + 256]]).decode() for k in range(0, len(simple), 256)])])
+        last = np.flatnonzero(self.ends()[flat] if len(flat) else flat)
+        if len(last) != len(simple) or (len(last) and last[-1] != len(flat) - 1):
+            plain = np.zeros(len(words), bool)  # some word has no end: one by one
+            simple, flat, last = simple[:0], flat[:0], last[:0]
+        other = np.flatnonzero(~plain)
+        own = run([words[i].decode() for i in other])
+        size[simple], size[other] = np.diff(last, prepend=-1), [len(x) for x in own]
+        both, at = np.concatenate([flat, *own]), np.zeros(len(words), np.int64)
+        order = np.concatenate([simple, other])
+        at[order] = np.cumsum(size[order]) - size[order]
+        return [both[gather(at, size)], size]
+
+    def encode(self, column: pa.Array, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each row's begin (one more than there are rows)."""
         t = Texts.of(column)
-        w = words_of(t, PLAIN)
-        _, one, index = exact_names(t.buf, w.start, w.end, word_hash(t, w))
-        raw = t.buf.tobytes()
-        words = [raw[a:b] for a, b in zip(w.start[one].tolist(), w.end[one].tolist())]
-        new = [x for x in words if x not in cache]
-        for x, got in zip(new, self.tokenizer().encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)):
-            cache[x] = np.array(got.ids, np.uint32)
-        ids = [cache[x] for x in words]
-        if len(cache) > CACHE:
+        start, end, first = self.words(t)
+        _, one, index = exact_names(t.buf, start, end, hash_bytes(t.buf, start, end, P_BYTE))
+        raw, hard = t.buf.tobytes(), np.append(0, np.cumsum(self.classes()[t.buf] == 4))
+        plain = hard[end[one]] == hard[start[one]]
+        words = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
+        held = np.array([cache.of.get(x, -1) for x in words], np.int64)
+        new = np.flatnonzero(held < 0)
+        held[new] = cache.add([words[i] for i in new], *self.encode_words([words[i] for i in new], plain[new]))
+        begin, size = cache.begin[held][index], cache.size[held][index]
+        ids = cache.flat[gather(begin, size)]
+        if len(cache.of) > CACHE:
             cache.clear()
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        at = np.cumsum(size) - size
-        return flat[gather(at[index], size[index])], np.append(0, np.cumsum(size[index]))[w.first]
+        return ids, np.append(0, np.cumsum(size))[first]
+
+
+class Cache:
+    """Words that a task has met and their ids."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.of: dict[bytes, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, words: list[bytes], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        at = np.arange(len(self.size), len(self.size) + len(words))
+        self.of.update(zip(words, at.tolist()))
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.flat = np.append(self.size, size), np.append(self.flat, flat)
+        return at
 
 
 def _by_words(spec: dict) -> bool:
-    """Splitting at ASCII white space first changes nothing: the pre-tokenizer drops white space, no added
-    token holds or takes any, and nothing is put before a word."""
+    """Cutting into words first changes nothing: the pre-tokenizer cuts by PATTERN and drops white space, no
+    added token holds or takes any, and nothing is put before a word."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    split = bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "[^\\s" in steps[0]["pattern"].get("Regex", "")
-    plain = all(not s.get("add_prefix_space") for s in steps[1:]) and spec.get("post_processor") is None
+    split = bool(steps) and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    plain = all(not s.get("add_prefix_space") and not s.get("use_regex") for s in steps[1:]) and spec.get("post_processor") is None
     kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}
     tokens = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["content"].split() != [a["content"]]) for a in spec.get("added_tokens", []))
     return split and plain and kinds and tokens
@@ -152,7 +218,7 @@ def pieces(docs: DataFrame, held, id_col: str, text_col: str, size: int, end: in
         return len(fill)
 
     def run(batches):
-        cache, rows, waiting, next_bin = {}, [], 0, TaskContext.get().partitionId() << 36
+        cache, rows, waiting, next_bin = Cache(), [], 0, TaskContext.get().partitionId() << 36
         for b in B.slices(batches, text_col):
             ids, off = held.value.encode(b.column(1), cache)
             n = np.diff(off) + 1  # and the end id

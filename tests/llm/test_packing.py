@@ -23,6 +23,9 @@ def texts():
     rows = corpus(6, 50)
     rows += [(500, "L'été d'Élodie's don't WE'LL  naïve Å Å ẹ́ ﬁ İ ΣΑΣ x y　z\x85q 12345 ½ ٣"), (501, "a<|endoftext|>b <|startoftext|> <|endof text|>"), (502, "日本語テキスト" * 3000), (503, "w" * 5000)]
     rows += [(504, " ".join(rng.choice(["alpha", "beta", "Gamma!", "x1"]) for _ in range(9000)))]
+    signs = list("ab1 2.,'s'tré’“”<|>endoftext-_́\n\x00\x1f!S ½")
+    rows += [(600 + k, "".join(rng.choice(signs) for _ in range(rng.randint(1, 300)))) for k in range(60)]
+    rows += [(700, "x<|endoftext|>,y.<|startoftext|>9'LL ...'s a.'s 'S x'set 'ré we've,'d(e)1a2b,,3'm")]
     return rows + [(505, " ́ a ́b\nc\t̸d")]
 
 
@@ -87,6 +90,8 @@ def test_no_documents_and_other_tokenizers(spark):
 
 def test_the_cache_of_words_may_be_cleared():
     e = P.Encoder(open(P.default_path(), encoding="utf-8").read())
-    cache, column = {}, pa.array(["a b c a", None, "", "b"])
+    cache, column = P.Cache(), pa.array(["a b é c a don't 12", None, "", "b"])
     first = [x.tolist() for x in e.encode(column, cache)]
-    assert first == [x.tolist() for x in e.encode(column, cache)] == [x.tolist() for x in e.encode(column, {})]
+    assert first == [x.tolist() for x in e.encode(column, cache)]
+    cache.clear()
+    assert first == [x.tolist() for x in e.encode(column, cache)]
