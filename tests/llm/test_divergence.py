@@ -61,23 +61,35 @@ def test_no_documents_and_no_kept_terms(spark):
     assert sorted(map(tuple, D.audit(frame(spark, rows)).collect())) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
 
 
-def test_a_task_that_passes_on_its_sums_early(spark, monkeypatch):
-    rows = table(9, 30)
-    monkeypatch.setattr(D, "HELD_ROWS", 50)  # workers are forked with it in local mode only by value: see _Sums
-    sums = D._Sums(64, False)
+def test_a_task_that_passes_on_its_sums_early():
+    """Rows of several flushes and ranges add up to the whole."""
+    import numpy as np
     import pyarrow as pa
 
-    for _, t, g, s in rows:
+    from revlens.llm import blocks as B
+
+    got, texts = Counter(), set()
+    rows = table(9, 30)
+    sums = D._Sums(0, 64, None)
+    batches = []
+    for k, (_, t, g, s) in enumerate(rows):
         sums.add([g or ""], [s or ""], pa.array([t], pa.string()))
-    got = Counter()
-    for t in sums.rows():
-        for r in t.to_pylist():
-            if r["n"] is not None:
-                got[(r["lang"], r["source"])] += r["n"]
+        if k % 7 == 6:
+            batches += sums.rows(5)
+    for b in [*batches, *sums.rows(5)]:
+        r = b.to_pylist()[0]
+        if r["part"] >= 0:
+            names = D.json.loads(r["groups"])
+            d, g, n, docs = B.load(r["counts"])
+            named, size, data = B.load(r["texts"])
+            assert set(d.tolist()) == set(named.tolist()) and (docs <= n).all()
+            texts |= set(D._strings(data, size.astype(np.int64)).to_pylist())
+            for k, v in zip(g.tolist(), n.tolist()):
+                got[tuple(names[k])] += v
     want = Counter()
     for _, t, g, s in rows:
         want[(g or "", s or "")] += len(TERM.findall(lower(t)))
-    assert +got == +want
+    assert +got == +want and texts == {x.decode() for _, t, _, _ in rows for x in TERM.findall(lower(t))}
 
 
 def test_share_does_not_leave_64_bits(spark):
