@@ -6,7 +6,12 @@ measured bytes, and no job runs while a plan is being built.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -18,3 +23,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def with_group(df: DataFrame, groups: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+    """``df`` and the columns that ``groups`` has for its key (NULL where it has none).  A NULL key is a
+    value of its own, as it is in a ``groupBy``."""
+    renamed = groups.withColumnsRenamed({c: f"_of{i}" for i, c in enumerate(key_cols)})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(key_cols)))
+    return df.join(renamed, same, "left").drop(*(f"_of{i}" for i in range(len(key_cols))))

@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlens.operators.joins import with_group
 from revlens.operators.ordered import with_running_count
 
 
@@ -115,7 +116,7 @@ def after_last(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str]
     pos = F.struct(*[F.col(c) for c in order_cols])
     last = df.where(is_reset).groupBy(*key_cols).agg(F.max(pos).alias("_last_reset"))
     return (
-        df.join(last, key_cols, "left")
+        with_group(df, last, key_cols)
         .where(F.col("_last_reset").isNull() | (pos > F.col("_last_reset")))
         .drop("_last_reset")
     )
@@ -129,7 +130,7 @@ def drop_after_first(df: DataFrame, key_cols: Sequence[str], order_cols: Sequenc
     pos = F.struct(*[F.col(c) for c in order_cols])
     first = df.where(is_stop).groupBy(*key_cols).agg(F.min(pos).alias("_first_stop"))
     keep = (pos <= F.col("_first_stop")) if inclusive else (pos < F.col("_first_stop"))
-    return df.join(first, key_cols, "left").where(F.col("_first_stop").isNull() | keep).drop("_first_stop")
+    return with_group(df, first, key_cols).where(F.col("_first_stop").isNull() | keep).drop("_first_stop")
 
 
 def tumbling_concat(

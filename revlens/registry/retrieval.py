@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.text import words
+from revlens.operators import clustered
 from revlens.operators.embed import hashed_sparse, hashed_with_rejects
 from revlens.operators.retrieve import attach_matches, group_centroids, topk_cosine
 from revlens.plans.answer import AnswerConfig, answer_text_questions
 from revlens.registry.common import (
     DIM, LANG_VOCAB, SUPPORTED_LABELS, SUPPORTED_LANGS, TOP_K, sql_hashed_sparse, sql_list, sql_vocab_match,
 )
-from revlens.session import load_table
+from revlens.session import load_table, scratch_path
 
 EMB_DIM = 64
+ANN_K, ANN_LISTS = 10, 32
 
 
 def _centroid_questions(emb: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def q_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_filtered_topk_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _label_topk(spark, sf_dir, strategy="numpy")
+    m = _label_topk(spark, sf_dir, strategy="blocked")
     return m.select("query_id", F.col("rank").cast("int"), "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -156,7 +158,37 @@ def q_question_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("query_id", "mention", "filter_entity", "n_matches", "status")
 
 
+def _own_label_questions(emb: DataFrame) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks for the nearest of its own label."""
+    return emb.where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("filter_entity"))
+
+
+def _ann(spark: SparkSession, sf_dir: str, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    emb = load_table(spark, sf_dir, "embeddings")
+    q = _own_label_questions(emb)
+    index = clustered.build(emb, scratch_path(spark, "clusters"), id_col="vec_id", vec_col="embedding",
+                            key_cols=["label"], dim=EMB_DIM, n_lists=ANN_LISTS)
+    return emb, q, clustered.search(index, q, ANN_K, exact=exact, q_key_cols=["filter_entity"])
+
+
+def q_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, m = _ann(spark, sf_dir, True)
+    return m.select("query_id", F.col("rank").cast("int"), "vec_id", F.round("score", 6).alias("score"))
+
+
+def q_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate form against brute force over all rows: questions, rows to be found, and whether nine in ten were."""
+    emb, q, m = _ann(spark, sf_dir, False)
+    whole = topk_cosine(emb, q, ANN_K, id_col="vec_id", vec_col="embedding", entity_col="label", dim=EMB_DIM)
+    hits = whole.join(m.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.agg(F.count_distinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_expected"),
+                    (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+
+
 QUERIES = {
+    "ann_topk": q_ann_topk,
+    "ann_recall": q_ann_recall,
     "filtered_topk": q_filtered_topk,
     "filtered_topk_numpy": q_filtered_topk_numpy,
     "no_filter_no_match": q_no_filter_no_match,
@@ -310,7 +342,15 @@ FROM q LEFT JOIN ctx USING (query_id)
 """
 
 
+_OWN_LABEL = f"""
+WITH s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, round({_cos("q.embedding::DOUBLE[]", "e.embedding::DOUBLE[]")}, 10) AS score
+  FROM embeddings q JOIN embeddings e ON e.label = q.label WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
 ORACLES = {
+    "ann_topk": f"{_OWN_LABEL} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {ANN_K}",
+    "ann_recall": f"{_OWN_LABEL} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_expected, TRUE AS recall_ok FROM r WHERE rank <= {ANN_K}",
     "filtered_topk": _LABEL_TOPK,
     "filtered_topk_numpy": _LABEL_TOPK,
     "no_filter_no_match": _NO_FILTER,

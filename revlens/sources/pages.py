@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlens.operators.joins import with_group
+
 
 def page_plan(seeds: DataFrame, entity_col: str, base_url_col: str, max_pages: int = 5) -> DataFrame:
     """Seeds x pages 1..max_pages -> ``entity, page, url`` (``{base}/page/{n}/``)."""
@@ -54,10 +56,10 @@ def stop_at_first_failure(
 
     The first failure per key is a partial aggregate (``min`` of the order
     struct over failing rows), joined back; no window, so a key holding a large
-    share of the rows is not gathered in one task.
+    share of the rows is not gathered in one task.  A NULL key is a key of its own.
     """
     key_cols, order_cols = list(key_cols), list(order_cols)
     pos = F.struct(*[F.col(c) for c in order_cols])
     first = df.where(failed).groupBy(*key_cols).agg(F.min(pos).alias("_first_fail"))
-    joined = df.join(first, key_cols, "left")
+    joined = with_group(df, first, key_cols)
     return joined.where(F.col("_first_fail").isNull() | (pos < F.col("_first_fail"))).drop("_first_fail")
