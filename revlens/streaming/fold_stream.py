@@ -6,9 +6,12 @@ conversation runs.  Each incoming chunk is tagged with its epoch and message
 number (append mode); the messages' text is the ordered concatenation of their
 chunks, computed downstream.  A ``clear`` chunk starts a new epoch (T5) and is
 passed on with it, so that :func:`last_epoch` can leave out what was cleared
-even when nothing follows.  Idle conversations expire after a processing-time
-timeout; one that returns starts an epoch numbered by its time, so that its
-messages cannot meet earlier ones.
+even when nothing follows.
+
+State is a value with a time to live (``transformWithState`` on RocksDB): that
+of a conversation without chunks for ``timeout_ms`` expires on its own.  One
+that returns starts an epoch numbered by its time, so that its messages cannot
+meet earlier ones.
 """
 
 from __future__ import annotations
@@ -20,11 +23,36 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from revlens.streaming.state import use_rocksdb
+
+
+class _Tagger(StatefulProcessor):
+    """Tags a key's rows, in order; ``step(rows, state or None, epoch of a new state)`` gives (rows, state)."""
+
+    def __init__(self, step, order: Sequence[str], columns: Sequence[str], state: T.StructType, timeout_ms: int | None):
+        self.step, self.order, self.columns, self.schema, self.timeout_ms = step, list(order), list(columns), state, timeout_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("last", self.schema, ttlDurationMs=self.timeout_ms)
 
-def _timeout(timeout_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="mergesort", ignore_index=True)
+        state = tuple(self.held.get()) if self.held.exists() else None
+        epoch = timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms else 0
+        tagged, state = self.step(pdf, state, epoch)
+        self.held.update(state)
+        yield tagged[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def _tagged(rows: DataFrame, key_col: str, step, order: Sequence[str], out: T.StructType, state: T.StructType, timeout_ms: int | None) -> DataFrame:
+    use_rocksdb(rows.sparkSession)
+    tagger = _Tagger(step, order, [f.name for f in out.fields], state, timeout_ms)
+    return rows.groupBy(key_col).transformWithStateInPandas(tagger, out, "append", "ProcessingTime" if timeout_ms else "None")
 
 
 def fold_numbers(types: pd.Series, always_new: Sequence[str], clear_type: str | None, last_type, msg_no: int, epoch: int):
@@ -53,10 +81,8 @@ def fold_chunks_stream(
     ``key, *order, epoch, msg_no, type, text`` with the types of the input; a
     clear chunk has ``msg_no`` -1.
 
-    ``timeout_ms`` sets a processing-time expiry for idle conversations; use it
-    for continuously running queries.  Leave it unset for ``availableNow``
-    runs: a processing-time timeout makes the engine keep scheduling empty
-    batches to check expiries, so such a run would not finish.
+    ``timeout_ms`` is the time to live of a conversation's state.  An
+    ``availableNow`` run with it needs ``state.without_empty_batches``.
     """
     order = list(order_cols)
     field = lambda c: T.StructField(c, chunks.schema[c].dataType)
@@ -66,25 +92,12 @@ def fold_chunks_stream(
     kept = T.StructType([T.StructField("last_type", chunks.schema[type_col].dataType), T.StructField("msg_no", long),
                          T.StructField("epoch", long)])
 
-    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
-            return
-        if state.exists:
-            last_type, msg_no, epoch = state.get
-        else:
-            last_type, msg_no, epoch = None, -1, (state.getCurrentProcessingTimeMs() if timeout_ms else 0)
-        pdf = pd.concat(parts, ignore_index=True).sort_values(order, kind="mergesort", ignore_index=True)
+    def fold(pdf: pd.DataFrame, state: tuple | None, epoch: int):
+        last_type, msg_no, epoch = state or (None, -1, epoch)
         epochs, numbers, new = fold_numbers(pdf[type_col], always_new, clear_type, last_type, msg_no, epoch)
-        state.update(new)
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield pdf.assign(epoch=epochs, msg_no=numbers)[[f.name for f in out.fields]]
+        return pdf.assign(epoch=epochs, msg_no=numbers), new
 
-    return chunks.groupBy(key_col).applyInPandasWithState(fold, out, kept, "append", _timeout(timeout_ms))
+    return _tagged(chunks, key_col, fold, order, out, kept, timeout_ms)
 
 
 def last_epoch(tagged: DataFrame, key_col: str = "conv_id") -> DataFrame:
@@ -106,21 +119,13 @@ def tag_responses_stream(
     long = T.LongType()
     out = T.StructType([field(key_col), *map(field, order), field(kind_col), T.StructField("epoch", long), T.StructField("response_no", long)])
 
-    def tag(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = [p for p in pdfs if len(p)]
-        if not parts:
-            return
-        done, epoch = state.get if state.exists else (0, state.getCurrentProcessingTimeMs() if timeout_ms else 0)
-        pdf = pd.concat(parts, ignore_index=True).sort_values(order, kind="mergesort", ignore_index=True)
+    kept = T.StructType([T.StructField("done", long), T.StructField("epoch", long)])
+
+    def tag(pdf: pd.DataFrame, state: tuple | None, epoch: int):
+        done, epoch = state or (0, epoch)
         marker = pdf[kind_col].isin(list(end_kinds)).to_numpy()
         # response number = end markers seen before the row (a marker closes its own response)
         before = done + (marker.cumsum() - marker)
-        state.update((int(done + marker.sum()), int(epoch)))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
-        yield pdf.assign(epoch=epoch, response_no=before.astype("int64"))[[f.name for f in out.fields]]
+        return pdf.assign(epoch=epoch, response_no=before.astype("int64")), (int(done + marker.sum()), int(epoch))
 
-    return events.groupBy(key_col).applyInPandasWithState(tag, out, "done long, epoch long", "append", _timeout(timeout_ms))
+    return _tagged(events, key_col, tag, order, out, kept, timeout_ms)
