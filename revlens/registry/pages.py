@@ -31,6 +31,11 @@ def q_stop_at_first_failure(spark, sf_dir):
     return kept.select("event_id", "user_id", "event_type")
 
 
+def q_stop_null_keys(spark, sf_dir):
+    e = load_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("key"))
+    return stop_at_first_failure(e, ["key"], ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "key", "event_type")
+
+
 def q_entity_file_name(spark, sf_dir):
     p = load_table(spark, sf_dir, "part")
     return p.groupBy(file_name_for("p_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -75,6 +80,7 @@ def q_pivot_last_wins(spark, sf_dir):
 QUERIES = {
     "page_plan": q_page_plan,
     "stop_at_first_failure": q_stop_at_first_failure,
+    "stop_null_keys": q_stop_null_keys,
     "entity_file_name": q_entity_file_name,
     "csv_roundtrip": q_csv_roundtrip,
     "html_records": q_html_records,
@@ -113,6 +119,11 @@ ORACLES = {
 SELECT n_name AS entity, CAST(page AS INTEGER) AS page,
        concat('{BASE_URL}', lower(n_name), '/page/', CAST(page AS VARCHAR), '/') AS url
 FROM nation, range(1, {MAX_PAGES + 1}) t(page)""",
+    "stop_null_keys": """
+WITH e AS (SELECT event_id, ts, event_type, CASE WHEN user_id % 7 <> 0 THEN user_id END AS key FROM events),
+f AS (SELECT key, min((ts, event_id)) AS fail FROM e WHERE event_type = 'error' GROUP BY key)
+SELECT e.event_id, e.key, e.event_type FROM e LEFT JOIN f ON e.key IS NOT DISTINCT FROM f.key
+WHERE f.fail IS NULL OR (e.ts, e.event_id) < f.fail""",
     "stop_at_first_failure": """
 WITH f AS (SELECT user_id, ts AS fts, event_id AS fid
            FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn

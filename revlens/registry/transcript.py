@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlens.operators.transcript import (
-    after_last, fold_runs, non_empty, ordered_concat, response_status, tumbling_concat,
+    after_last, drop_after_first, fold_runs, non_empty, ordered_concat, response_status, tumbling_concat,
 )
 from revlens.session import load_table
 
@@ -57,6 +57,21 @@ def q_after_last_reset(spark, sf_dir):
         "event_id", "user_id")
 
 
+def _some_null(spark, sf_dir):
+    """Events whose key is NULL for one user in seven."""
+    e = load_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return e.withColumn("key", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
+
+
+def q_after_last_null_keys(spark, sf_dir):
+    return after_last(_some_null(spark, sf_dir), ["key"], ["ts", "event_id"], F.col("event_type") == "signup").select("event_id", "key")
+
+
+def q_drop_after_first(spark, sf_dir):
+    """T4: nothing is sent after a key's first error end, which is sent itself."""
+    return drop_after_first(_some_null(spark, sf_dir), ["key"], ["ts", "event_id"], F.col("event_type") == ERROR_KIND).select("event_id", "key")
+
+
 def q_tumbling_concat(spark, sf_dir):
     e = load_table(spark, sf_dir, "events")
     return tumbling_concat(e, ["user_id"], "ts", "event_type", ["ts", "event_id"], FLUSH_WINDOW, ",")
@@ -87,6 +102,8 @@ QUERIES = {
     "response_status": q_response_status,
     "response_status_window": q_response_status_window,
     "after_last_reset": q_after_last_reset,
+    "after_last_null_keys": q_after_last_null_keys,
+    "drop_after_first": q_drop_after_first,
     "tumbling_concat": q_tumbling_concat,
     "response_concat": q_response_concat,
     "transcript_fold": q_transcript_fold,
@@ -131,7 +148,17 @@ SELECT conv_id, CAST(msg_no AS INTEGER) AS msg_no, any_value(type) AS type, coun
        string_agg(text, '' ORDER BY turn, part_no) AS content
 FROM m GROUP BY conv_id, msg_no"""
 
+_SOME_NULL = "e AS (SELECT event_id, ts, event_type, CASE WHEN user_id % 7 <> 0 THEN user_id END AS key FROM events)"
+
 ORACLES = {
+    "after_last_null_keys": f"""
+WITH {_SOME_NULL}, l AS (SELECT key, max((ts, event_id)) AS last_reset FROM e WHERE event_type = 'signup' GROUP BY key)
+SELECT e.event_id, e.key FROM e LEFT JOIN l ON e.key IS NOT DISTINCT FROM l.key
+WHERE l.last_reset IS NULL OR (e.ts, e.event_id) > l.last_reset""",
+    "drop_after_first": f"""
+WITH {_SOME_NULL}, l AS (SELECT key, min((ts, event_id)) AS stop FROM e WHERE event_type = '{ERROR_KIND}' GROUP BY key)
+SELECT e.event_id, e.key FROM e LEFT JOIN l ON e.key IS NOT DISTINCT FROM l.key
+WHERE l.stop IS NULL OR (e.ts, e.event_id) <= l.stop""",
     "fold_runs": _FOLD,
     "fold_runs_window": _FOLD,
     "response_status": _STATUS,

@@ -97,6 +97,17 @@ def q_upsert_latest(spark, sf_dir):
     return merged.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderstatus", "version")
 
 
+def q_upsert_null_versions(spark, sf_dir):
+    """Versions that are NULL (below any other) for urgent orders, a second one with a version for every third of these."""
+    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    base = o.select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(0).alias("version"))
+    urgent = o.where(F.col("o_orderpriority") == "1-URGENT")
+    batch = urgent.select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), "o_orderstatus", F.lit(None).cast("int").alias("version"))
+    batch = batch.unionByName(urgent.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), F.lit("U").alias("o_orderstatus"), F.lit(-5).alias("version")))
+    merged = upsert(base, batch, "o_orderkey", seq_col="version")
+    return merged.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderstatus", "version")
+
+
 QUERIES = {
     "vocab_extract": q_vocab_extract,
     "fence_json": q_fence_json,
@@ -104,6 +115,7 @@ QUERIES = {
     "unsupported_entities": q_unsupported_entities,
     "supported_entities": q_supported_entities,
     "upsert_latest": q_upsert_latest,
+    "upsert_null_versions": q_upsert_null_versions,
 }
 
 # ---------------------------------------------------------------- oracles
@@ -148,6 +160,11 @@ WHERE n_name NOT IN (SELECT n_name FROM sup)""",
     "supported_entities": f"""
 WITH {_NATION_VOCAB}
 SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS ordinal, n_name AS entity FROM sup""",
+    "upsert_null_versions": """
+SELECT o_orderkey, round(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice + 1 END, 6) AS o_totalprice,
+       CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus,
+       CASE WHEN o_orderpriority <> '1-URGENT' THEN 0 WHEN o_orderkey % 3 = 0 THEN -5 END AS version
+FROM orders""",
     "upsert_latest": """
 WITH upd AS (
   SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, o_orderstatus, 1 AS version FROM orders
