@@ -34,6 +34,10 @@ WHITE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 IDS = 1
 
 
+#: Ids that are decoded together; a row with more is alone.
+IDS_AT_ONCE = 1 << 18
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -247,16 +251,22 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", to: s
     held = rows.sparkSession.sparkContext.broadcast(read_codec(path))
     rest = [f for f in rows.schema.fields if f.name != to]
 
+    def texts(col):
+        size = np.asarray(col.value_lengths().fill_null(0), np.int64)
+        flat, null = np.asarray(col.flatten(), np.int64), np.asarray(col.is_null())
+        data, at = held.value.decode_bytes(flat)
+        ends = at[np.append(0, np.cumsum(size))].tolist()
+        return [None if none else data[x:y].tobytes().decode("utf-8", "replace") for x, y, none in zip(ends[:-1], ends[1:], null.tolist())]
+
     def run(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            col = t[ids_col].combine_chunks()
-            col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-            flat = np.asarray(col.flatten(), np.int64)
-            size = np.array([len(x) if x is not None else 0 for x in col.to_pylist()], np.int64)
-            data, at = held.value.decode_bytes(flat)
-            ends = np.append(0, np.cumsum(size))
-            texts = [None if x is None else data[at[ends[i]] : at[ends[i + 1]]].tobytes().decode("utf-8", "replace") for i, x in enumerate(col.to_pylist())]
-            yield from t.select([f.name for f in rest]).append_column(to, pa.array(texts, pa.string())).to_batches()
+            at = b.schema.get_field_index(ids_col)
+            ends = np.cumsum(np.asarray(b.column(at).value_lengths().fill_null(0), np.int64) + 1)
+            first = 0
+            while first < b.num_rows:  # some rows at a time: a byte of text is a number of eight bytes on the way
+                upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + IDS_AT_ONCE, "right")))
+                part = b.slice(first, upto - first)
+                yield from pa.Table.from_batches([part]).select([f.name for f in rest]).append_column(to, pa.array(texts(part.column(at)), pa.string())).to_batches()
+                first = upto
 
     return B.map_rows(rows, run, StructType([*rest, StructField(to, StringType())]))

@@ -1,5 +1,7 @@
 """The pipeline's stages and run() against brute force."""
 
+import hashlib
+
 import corpus_pipeline
 import test_decontaminate
 import test_jaccard
@@ -76,6 +78,7 @@ def test_stages(spark, tmp_path):
     ids = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in want}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id: (r.ids, r.n_tokens) for r in out.collect()} == {i: (x, len(x)) for i, x in ids.items()}
+    assert {r.doc_id: r.decoded_sha256 for r in out.collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want}
 
 
 def test_empty_table(spark, tmp_path):
