@@ -40,9 +40,10 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of what is left."""
+    """(doc_id, source, n_tokens, ids, decoded_sha256) of what is left; the digest is that of the text which the ids give."""
     ensure_checkpoint_dir(spark)
-    return bpe.encode(docs).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    out = bpe.decode(bpe.encode(docs))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
