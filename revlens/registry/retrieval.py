@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlens.functions.text import words
-from revlens.operators import clustered
+from revlens.operators import clustered, semantic
 from revlens.operators.embed import hashed_sparse, hashed_with_rejects
 from revlens.operators.retrieve import attach_matches, group_centroids, topk_cosine
 from revlens.plans.answer import AnswerConfig, answer_text_questions
@@ -186,7 +186,16 @@ def q_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
 
 
+def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's vector under a model fitted on all documents: its size and length."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = semantic.fit(docs, "text", DIM).embed(docs, "text").select("doc_id", "vector")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("n_dims"), F.round(norm, 4).alias("norm"))
+
+
 QUERIES = {
+    "lsa_embed": q_lsa_embed,
     "ann_topk": q_ann_topk,
     "ann_recall": q_ann_recall,
     "filtered_topk": q_filtered_topk,
@@ -349,6 +358,9 @@ WITH s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 ORACLES = {
+    "lsa_embed": f"""
+SELECT doc_id, CASE WHEN w THEN {DIM} END AS n_dims, CASE WHEN w THEN 1.0 END AS norm
+FROM (SELECT doc_id, coalesce(regexp_matches(lower(text), '[\\p{{L}}\\p{{N}}]'), FALSE) AS w FROM documents)""",
     "ann_topk": f"{_OWN_LABEL} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {ANN_K}",
     "ann_recall": f"{_OWN_LABEL} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_expected, TRUE AS recall_ok FROM r WHERE rank <= {ANN_K}",
     "filtered_topk": _LABEL_TOPK,
