@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from revlens.operators.joins import spread
 from revlens.operators.ordered import with_row_index
 from revlens.operators.understand import extract_vocab, parse_model_json, unsupported, validate
+from revlens.operators.vocabulary import match_vocabulary, sequences
 from revlens.registry.common import sql_str, sql_strip, sql_vocab_match
 from revlens.session import load_table
 from revlens.sources.index import upsert
@@ -108,7 +109,18 @@ def q_upsert_null_versions(spark, sf_dir):
     return merged.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderstatus", "version")
 
 
+def q_vocab_large(spark, sf_dir):
+    """Every two and three consecutive words of a conversation are a vocabulary entry, whose value is the least conversation
+    that has them; matched against whole documents."""
+    turns = spread(load_table(spark, sf_dir, "conversations"))
+    vocab = turns.select("conv_id", F.inline(sequences("text", (2, 3)))).withColumnRenamed("entry", "surface")
+    vocab = vocab.groupBy("surface").agg(F.min("conv_id").alias("value"))
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return match_vocabulary(docs, "doc_id", "text", vocab, "surface", "value").drop("text")
+
+
 QUERIES = {
+    "vocab_large": q_vocab_large,
     "vocab_extract": q_vocab_extract,
     "fence_json": q_fence_json,
     "validate_vocab": q_validate_vocab,
@@ -144,7 +156,23 @@ _NATION_VOCAB = f"""
 sup AS (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey
         WHERE r_name <> {sql_str(UNSUPPORTED_REGION)})"""
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+def _sql_sequences(table: str, key: str) -> str:
+    """Every two and three consecutive words with their place."""
+    each = " UNION ALL ".join(
+        f"SELECT {key}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: {{'entry': array_to_string(w[i:i + {n - 1}], ' '), 'place': i}}), recursive := true) FROM t"
+        for n in (2, 3))
+    return f"(WITH t AS MATERIALIZED (SELECT {key}, {_WORDS} AS w FROM {table}) {each})"
+
+
 ORACLES = {
+    "vocab_large": f"""
+WITH vocab AS (SELECT entry, CAST(min(conv_id) AS VARCHAR) AS value FROM {_sql_sequences('conversations', 'conv_id')} GROUP BY entry),
+hits AS (SELECT doc_id, entry, value, min(place) AS place FROM {_sql_sequences('documents', 'doc_id')} JOIN vocab USING (entry) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(entry) DESC, place) AS rank, count(*) OVER (PARTITION BY doc_id) AS n FROM hits)
+SELECT doc_id, value, entry, coalesce(n, 0) AS n_found FROM documents LEFT JOIN (SELECT * FROM best WHERE rank = 1) USING (doc_id)""",
     "vocab_extract": f"SELECT p_partkey, {_VOCAB_SQL} FROM part",
     "fence_json": _FENCE,
     "validate_vocab": f"""
