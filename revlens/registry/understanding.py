@@ -10,7 +10,8 @@ from revlens.operators.ordered import with_row_index
 from revlens.operators.understand import extract_vocab, parse_model_json, unsupported, validate
 from revlens.operators.vocabulary import match_vocabulary, sequences
 from revlens.registry.common import sql_str, sql_strip, sql_vocab_match
-from revlens.session import load_table
+from revlens.session import load_table, scratch_path
+from revlens.sources.buckets import read_buckets, upsert_buckets
 from revlens.sources.index import upsert
 
 # Vocabularies for matching part names as if they were questions: one kind
@@ -119,7 +120,22 @@ def q_vocab_large(spark, sf_dir):
     return match_vocabulary(docs, "doc_id", "text", vocab, "surface", "value").drop("text")
 
 
+def q_upsert_buckets(spark, sf_dir):
+    """All documents, then a batch in which those of one language move to another one (and come a second time without a
+    version) and those of another language come as new ids."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    path = scratch_path(spark, "buckets")
+    upsert_buckets(spark, path, d.withColumn("version", F.lit(0)), "doc_id", ["lang"], "version")
+    moved = d.where("lang = 'fr'")
+    batch = moved.withColumns({"lang": F.lit("es"), "version": F.lit(1)}).unionByName(
+        moved.withColumns({"n_chars": -F.col("n_chars"), "version": F.lit(None).cast("int")})).unionByName(
+        d.where("lang = 'de'").withColumns({"doc_id": -F.col("doc_id") - 1, "version": F.lit(None).cast("int")}))
+    upsert_buckets(spark, path, batch, "doc_id", ["lang"], "version")
+    return read_buckets(spark, path).select("doc_id", "lang", "n_chars", "version")
+
+
 QUERIES = {
+    "upsert_buckets": q_upsert_buckets,
     "vocab_large": q_vocab_large,
     "vocab_extract": q_vocab_extract,
     "fence_json": q_fence_json,
@@ -168,6 +184,9 @@ def _sql_sequences(table: str, key: str) -> str:
 
 
 ORACLES = {
+    "upsert_buckets": """
+SELECT doc_id, CASE WHEN lang = 'fr' THEN 'es' ELSE lang END AS lang, n_chars, CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS version FROM documents
+UNION ALL SELECT -doc_id - 1, lang, n_chars, NULL FROM documents WHERE lang = 'de'""",
     "vocab_large": f"""
 WITH vocab AS (SELECT entry, CAST(min(conv_id) AS VARCHAR) AS value FROM {_sql_sequences('conversations', 'conv_id')} GROUP BY entry),
 hits AS (SELECT doc_id, entry, value, min(place) AS place FROM {_sql_sequences('documents', 'doc_id')} JOIN vocab USING (entry) GROUP BY ALL),

@@ -20,6 +20,7 @@ from revlens.plans.build_index import build_index
 def start_index_stream(
     spark: SparkSession, docs: DataFrame, path: str, checkpoint_path: str, *, id_col: str, text_col: str,
     entity_col: str, meta_cols: Sequence[str] = (), dim: int = DEFAULT_DIM, available_now: bool = True,
+    buckets: int | None = None,
 ) -> StreamingQuery:
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by the emptiness check and the merge
@@ -27,7 +28,7 @@ def start_index_stream(
             if batch.isEmpty():  # e.g. an empty source file: nothing to merge
                 return
             build_index(spark, batch, path, id_col=id_col, text_col=text_col, entity_col=entity_col,
-                        meta_cols=meta_cols, dim=dim)
+                        meta_cols=meta_cols, dim=dim, buckets=buckets)
         finally:
             batch.unpersist()
 
