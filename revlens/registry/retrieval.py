@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlens.functions.text import words
+from revlens.functions.text import py_strip, words
 from revlens.operators import clustered, semantic
 from revlens.operators.embed import hashed_sparse, hashed_with_rejects
+from revlens.operators.html import FieldSpec, extract_records
 from revlens.operators.retrieve import attach_matches, group_centroids, topk_cosine
-from revlens.plans.answer import AnswerConfig, answer_text_questions
+from revlens.plans.answer import AnswerConfig, answer_text_questions, match_arrays
+from revlens.plans.build_index import build_index
 from revlens.registry.common import (
     DIM, LANG_VOCAB, SUPPORTED_LABELS, SUPPORTED_LANGS, TOP_K, sql_hashed_sparse, sql_list, sql_vocab_match,
 )
@@ -186,6 +188,23 @@ def q_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
 
 
+def q_pages_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages to answers in one run: records out of the HTML, cleaned, into an index of buckets, which the questions ask."""
+    fields = [FieldSpec("title", "title"), FieldSpec("lang", "html", kind="attr:lang")]
+    records = extract_records(load_table(spark, sf_dir, "pages"), "html", None, fields, keep=["page_id"])
+    cleaned = records.select("page_id", "lang", py_strip("title").alias("title")).where("lang IS NOT NULL AND title <> ''")
+    index = build_index(spark, cleaned, scratch_path(spark, "pages-index"), id_col="page_id", text_col="title", entity_col="lang", dim=DIM, buckets=16)
+    questions = load_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    cfg = AnswerConfig(vocab=LANG_VOCAB, supported=SUPPORTED_LANGS, k=TOP_K, dim=DIM)
+    out = answer_text_questions(cleaned, questions, doc_id_col="page_id", doc_text_col="title", entity_col="lang",
+                                q_id_col="query_id", q_text_col="text", cfg=cfg, corpus_vectors=index)
+    matches = match_arrays(out["matches"], "query_id", "page_id", ["title"])
+    ids = F.array_join(F.transform("matches", lambda m: m["id"].cast("string")), ",")
+    titles = F.array_join(F.transform("matches", lambda m: m["metadata"]["title"]), "\n")
+    asked = out["questions"].select("query_id", "filter_entity", "status", "prompt").join(matches, "query_id", "left")
+    return asked.select("query_id", "filter_entity", "status", "prompt", F.coalesce(ids, F.lit("")).alias("page_ids"), F.coalesce(titles, F.lit("")).alias("titles"))
+
+
 def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's vector under a model fitted on all documents: its size and length."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -195,6 +214,7 @@ def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pages_to_answers": q_pages_to_answers,
     "lsa_embed": q_lsa_embed,
     "ann_topk": q_ann_topk,
     "ann_recall": q_ann_recall,
@@ -325,7 +345,7 @@ ctx AS (SELECT r.query_id, string_agg(d.text, chr(10) ORDER BY r.rank) AS contex
 """
 
 
-def _prompt_sql() -> str:
+def _prompt_sql(base: str = _TEXT_BASE, columns: str = "q.query_id, CAST(coalesce(ctx.n_context, 0) AS INTEGER) AS n_matches") -> str:
     from revlens.operators.prompt import GROUNDED_TEMPLATE, NO_MATCH_TEMPLATE
     from revlens.registry.common import sql_str
 
@@ -343,14 +363,27 @@ def _prompt_sql() -> str:
         return "concat(" + ", ".join(parts) + ")"
 
     ents = sql_str(", ".join(SUPPORTED_LANGS))
-    return _TEXT_BASE + f"""
-SELECT q.query_id, CAST(coalesce(ctx.n_context, 0) AS INTEGER) AS n_matches,
+    return base + f"""
+SELECT {columns},
        CASE WHEN coalesce(ctx.n_context, 0) = 0 THEN {tpl(NO_MATCH_TEMPLATE, question='q.text', entities=ents)}
             ELSE {tpl(GROUNDED_TEMPLATE, question='q.text', context='ctx.context')} END AS prompt
 FROM q LEFT JOIN ctx USING (query_id)
 """
 
 
+def _pages_sql() -> str:
+    from revlens.registry.common import sql_strip
+    from revlens.registry.pages import _first
+
+    records = f"""(SELECT page_id AS doc_id, {sql_strip(_first('title'))} AS text, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang
+  FROM pages WHERE regexp_matches(html, '<html lang="'))"""
+    base = _TEXT_BASE.replace("WITH q0", f"WITH records AS MATERIALIZED (SELECT * FROM {records} WHERE text <> ''),\nq0")
+    base = base.replace("documents", "records").replace(
+        "CAST(count(*) AS INTEGER) AS n_context", "CAST(count(*) AS INTEGER) AS n_context, string_agg(CAST(r.doc_id AS VARCHAR), ',' ORDER BY r.rank) AS ids")
+    return _prompt_sql(base, """q.query_id, q.filter_entity, CASE WHEN q.filter_entity IS NULL THEN 'no_filter' ELSE 'ok' END AS status,
+       coalesce(ctx.ids, '') AS page_ids, coalesce(ctx.context, '') AS titles""")
+
+
 _OWN_LABEL = f"""
 WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id, round({_cos("q.embedding::DOUBLE[]", "e.embedding::DOUBLE[]")}, 10) AS score
@@ -358,6 +391,7 @@ WITH s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 ORACLES = {
+    "pages_to_answers": _pages_sql(),
     "lsa_embed": f"""
 SELECT doc_id, CASE WHEN w THEN {DIM} END AS n_dims, CASE WHEN w THEN 1.0 END AS norm
 FROM (SELECT doc_id, coalesce(regexp_matches(lower(text), '[\\p{{L}}\\p{{N}}]'), FALSE) AS w FROM documents)""",
