@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from revlens.functions.text import py_strip, words
 from revlens.operators import clustered, semantic
-from revlens.operators.embed import hashed_sparse, hashed_with_rejects
+from revlens.operators.embed import embed_with, hashed_sparse, hashed_with_rejects
 from revlens.operators.html import FieldSpec, extract_records
+from revlens.operators.joins import spread
 from revlens.operators.retrieve import attach_matches, group_centroids, topk_cosine
 from revlens.plans.answer import AnswerConfig, answer_text_questions, match_arrays
 from revlens.plans.build_index import build_index
@@ -205,6 +206,25 @@ def q_pages_to_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("query_id", "filter_entity", "status", "prompt", F.coalesce(ids, F.lit("")).alias("page_ids"), F.coalesce(titles, F.lit("")).alias("titles"))
 
 
+def _counting_model():
+    """A model of three numbers a text that fails on texts with an address, and gives short ones too few numbers."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        if any("@" in t for t in texts):
+            raise ValueError("address in the text")
+        return [[len(t), t.count(" "), t.count("\n")][:3 if len(t) >= 40 else 2] for t in texts]
+
+    return encode
+
+
+def q_embed_model_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user model that fails: a batch with a bad row is retried row by row, only the bad rows are rejected."""
+    docs = spread(load_table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL"))
+    out = embed_with(docs, "text", _counting_model, 3)
+    numbers = [F.get("vector", i).cast("bigint").alias(n) for i, n in enumerate(("n_chars", "n_blanks", "n_breaks"))]
+    return out.select("doc_id", F.when(F.col("embed_error").isNull(), "ok").otherwise("rejected").alias("status"), F.col("embed_error").alias("error"), *numbers)
+
+
 def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's vector under a model fitted on all documents: its size and length."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -214,6 +234,7 @@ def q_lsa_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "embed_model_rejects": q_embed_model_rejects,
     "pages_to_answers": q_pages_to_answers,
     "lsa_embed": q_lsa_embed,
     "ann_topk": q_ann_topk,
@@ -391,6 +412,14 @@ WITH s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 ORACLES = {
+    "embed_model_rejects": """
+WITH e AS (SELECT doc_id, text, CASE WHEN contains(text, '@') THEN 'ValueError: address in the text' WHEN length(text) < 40 THEN 'vector size 2 != 3' END AS error
+           FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'rejected' END AS status, error,
+       CASE WHEN error IS NULL THEN length(text) END AS n_chars,
+       CASE WHEN error IS NULL THEN length(text) - length(replace(text, ' ', '')) END AS n_blanks,
+       CASE WHEN error IS NULL THEN length(text) - length(replace(text, chr(10), '')) END AS n_breaks
+FROM e""",
     "pages_to_answers": _pages_sql(),
     "lsa_embed": f"""
 SELECT doc_id, CASE WHEN w THEN {DIM} END AS n_dims, CASE WHEN w THEN 1.0 END AS norm

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.joins import spread
 from revlens.operators.ordered import with_row_index
-from revlens.operators.understand import extract_vocab, parse_model_json, unsupported, validate
+from revlens.operators.understand import extract_vocab, parse_model_json, route_match, unsupported, validate
 from revlens.operators.vocabulary import match_vocabulary, sequences
 from revlens.registry.common import sql_str, sql_strip, sql_vocab_match
 from revlens.session import load_table, scratch_path
@@ -23,6 +23,7 @@ PART_VOCAB = {
     "size_kind": [("small", "Small"), ("large", "Large"), ("new", "New"), ("old", "Old")],
     "tone_kind": [("red", "Red"), ("blue", "Blue"), ("hot", "Hot"), ("cold", "Cold")],
 }
+ASPECT_VOCAB = [("economy", "price"), ("promo", "price"), ("standard", "comfort"), ("medium", "room"), ("large", "room"), ("small", "room")]
 UNSUPPORTED_REGION = "MIDDLE EAST"  # nations of this region are indexed but not supported
 
 
@@ -134,7 +135,17 @@ def q_upsert_buckets(spark, sf_dir):
     return read_buckets(spark, path).select("doc_id", "lang", "n_chars", "version")
 
 
+def q_question_fields(spark, sf_dir):
+    """All five fields of a question: entity, two kinds, route and aspect; small parts are asked about without a route."""
+    p = load_table(spark, sf_dir, "part")
+    route = F.when(F.col("p_size") > 10, F.concat(F.lit(" from "), "p_brand", F.lit("  to "), "p_type")).otherwise("")
+    asked = p.select("p_partkey", F.concat(F.lit("How is the "), F.lower("p_type"), F.lit(" ("), "p_name", F.lit(")"), route, F.lit("?")).alias("question"))
+    fields = extract_vocab(asked, "question", PART_VOCAB | {"aspect": ASPECT_VOCAB})
+    return fields.select("p_partkey", *PART_VOCAB, "aspect", route_match("question").alias("route"))
+
+
 QUERIES = {
+    "question_fields": q_question_fields,
     "upsert_buckets": q_upsert_buckets,
     "vocab_large": q_vocab_large,
     "vocab_extract": q_vocab_extract,
@@ -183,7 +194,11 @@ def _sql_sequences(table: str, key: str) -> str:
     return f"(WITH t AS MATERIALIZED (SELECT {key}, {_WORDS} AS w FROM {table}) {each})"
 
 
+_ASKED = "(SELECT p_partkey, p_size, p_brand, p_type, concat('How is the ', lower(p_type), ' (', p_name, ')', CASE WHEN p_size > 10 THEN concat(' from ', p_brand, '  to ', p_type) ELSE '' END, '?') AS question FROM part)"
+_FIELDS_SQL = ", ".join(f"{sql_vocab_match('question', _pairs(v))} AS {k}" for k, v in (PART_VOCAB | {"aspect": ASPECT_VOCAB}).items())
+
 ORACLES = {
+    "question_fields": f"SELECT p_partkey, {_FIELDS_SQL}, CASE WHEN p_size > 10 THEN concat(p_brand, ' to ', p_type) END AS route FROM {_ASKED}",
     "upsert_buckets": """
 SELECT doc_id, CASE WHEN lang = 'fr' THEN 'es' ELSE lang END AS lang, n_chars, CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS version FROM documents
 UNION ALL SELECT -doc_id - 1, lang, n_chars, NULL FROM documents WHERE lang = 'de'""",
