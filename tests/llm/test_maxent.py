@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import PLAIN, corpus, frame, lower
 
@@ -56,3 +57,59 @@ def test_no_training_documents(spark):
     (r,) = maxent.score(frame(spark, [(i, "a b")])).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
     assert maxent.score(frame(spark, [])).collect() == []
+
+
+def rate(rows, column):
+    return sum(r[column] for r in rows) / sum(r.n_tokens for r in rows)
+
+
+def test_every_word_determines_the_next(spark):
+    """200 words in a fixed cycle: held-out texts are nearly certain, which no class of counts can tell."""
+    rows = [(i, " ".join(f"w{(i * 37 + j) % 200}" for j in range(100))) for i in range(120)]
+    got = [r for r in maxent.score(frame(spark, rows)).collect() if r.held_out]
+    assert rate(got, "score") > -0.2 and rate(got, "base_score") < -2
+
+
+def test_score_against_brute_force(spark):
+    """The same weights, token by token in plain Python; the words that can follow sum to one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.geometric(0.15, rng.integers(0, 30)))) for i in range(60)] + [(60, None), (60, "w1 new w1")]
+    coded, types, tokens_ = maxent.code(frame(spark, rows))
+    weights, bias, m = maxent.train(coded, types, tokens_)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count, pair = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = tokens(t)
+            count.update(w)
+            pair.update(zip([None, *w], w))
+    cls = lambda w: int(math.log2(max(count[w], 1)))
+    inside = lambda w: count[w] / sum(n for v, n in count.items() if cls(v) == cls(w)) if cls(w) else 1 / (sum(n == 1 for n in count.values()) + 1)
+
+    def logs(words):
+        """Class log probabilities before every word, by the operator's features."""
+        hashes, first = maxent._tokens(frame_table(b" ".join(w for w in words if w).decode()))
+        return maxent._log_probabilities(weights, bias, maxent._features((hashes >> np.uint64(32)) + np.uint64(1), first))
+
+    def probability(p, last, w):
+        k = maxent.class_of(np.array([count[last]]))[0]
+        return (pair[last, w] + m[k] * math.exp(p[cls(w)]) * inside(w)) / (count[last] + m[k])
+
+    want = []
+    for i, t in rows:
+        w = tokens(t)
+        p = logs(w)
+        want.append((i, sum(math.log10(probability(p[j], w[j - 1] if j else None, w[j])) for j in range(len(w)))))
+        for j in range(0, len(w), 7):
+            empty = [c for c in range(maxent.CLASSES) if c and not tokens_[c]]  # classes that no word has
+            total = sum(probability(p[j], w[j - 1] if j else None, v) for v in [*count, "never seen"])
+            k = maxent.class_of(np.array([count[w[j - 1] if j else None]]))[0]
+            left = sum(math.exp(p[j][c]) for c in empty) * m[k] / (count[w[j - 1] if j else None] + m[k])
+            assert total + left == pytest.approx(1, abs=1e-4)
+    got = [(r.doc_id, r.score) for r in maxent.scored(coded, (weights, bias, m), types, tokens_).collect()]
+    assert [a for a, _ in sorted(want)] == [a for a, _ in sorted(got)]
+    assert [b for _, b in sorted(want)] == pytest.approx([b for _, b in sorted(got)], abs=1e-3)
+
+
+def frame_table(text):
+    return pa.table({"doc_id": pa.array([0], pa.int64()), "text": pa.array([text])})
