@@ -58,6 +58,7 @@ PRIOR = 4.0
 RIDGE = 8.0
 SHARDS = 16
 FAN = 64
+TINY = np.float32(1e-37)  # least class probability whose logarithm is taken
 BATCH = 1 << 16
 HELD_OUT = (7, 2)
 END = U(0x452821E638D01377)
@@ -132,9 +133,18 @@ def _features(word: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def _log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    x = bias + weights[rows[0]] + weights[rows[1]] + weights[rows[2]]
+    return np.log(np.maximum(_probabilities(weights, bias, rows), TINY))
+
+
+def _probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    x = weights[rows[0]]
+    x += weights[rows[1]]
+    x += weights[rows[2]]
+    x += bias
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _sum_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -143,12 +153,12 @@ def _sum_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     into[rows[order][heads]] += np.add.reduceat(values[order], heads)
 
 
-def _shard_sums(coded: DataFrame, per_block, n_arrays: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums over all blocks of ``n_arrays`` float arrays (FEATURES x CLASSES), which tasks add up for
+def _shard_sums(coded: DataFrame, per_block, n_arrays: int, classes: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums over all blocks of ``n_arrays`` float arrays (FEATURES x classes), which tasks add up for
     theirs, and of one (2 x CLASSES)."""
 
     def run(batches):
-        total = [np.zeros((FEATURES, CLASSES), np.float64) for _ in range(n_arrays)]
+        total = [np.zeros((FEATURES, classes), np.float64) for _ in range(n_arrays)]
         small = np.zeros((2, CLASSES))
         for b in batches:
             for body in b.column(0):
@@ -173,8 +183,8 @@ def _shard_sums(coded: DataFrame, per_block, n_arrays: int) -> tuple[list[np.nda
     shards = near.groupBy("bucket").applyInArrow(add, B.SENT).collect()
     parts = [B.load(bytes(r.body)) for r in sorted(shards, key=lambda r: r.bucket)]
     if not parts:
-        return [np.zeros((FEATURES, CLASSES)) for _ in range(n_arrays)], np.zeros((2, CLASSES))
-    return [np.concatenate(x).reshape(FEATURES, CLASSES) for x in zip(*parts[:-1])], parts[-1][0].reshape(2, CLASSES)
+        return [np.zeros((FEATURES, classes)) for _ in range(n_arrays)], np.zeros((2, CLASSES))
+    return [np.concatenate(x).reshape(FEATURES, classes) for x in zip(*parts[:-1])], parts[-1][0].reshape(2, CLASSES)
 
 
 def code(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -255,17 +265,19 @@ def _tilted(log_p0: np.ndarray, pair: np.ndarray, last: np.ndarray, m: np.ndarra
 
 
 def train(coded: DataFrame, types: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, bias) of the classes, float32, and m by class of the last token."""
+    """(weights, bias) of the classes, float32, and m by class of the last token.  Classes above the most
+    frequent token's have no weights; those below it that no token has get no probability."""
     sc = coded.sparkSession.sparkContext
-    share = (tokens + 0.5) / (tokens.sum() + 0.5 * CLASSES)
-    bias = np.log(share).astype(np.float32)
+    classes = int(np.flatnonzero(np.append(1, tokens[1:])).max()) + 1
+    share = (tokens[:classes] + 0.5) / (tokens.sum() + 0.5 * classes)
+    bias = np.where(np.append(1, tokens[1:classes]) > 0, np.log(share), -np.inf).astype(np.float32)
 
     def observed(arrays, total, _):
         x = Block(arrays)
         for r in x.rows:
-            total[0] += np.bincount(r[x.train] * CLASSES + x.cls[x.train], minlength=FEATURES * CLASSES).reshape(FEATURES, CLASSES)
+            total[0] += np.bincount(r[x.train] * classes + x.cls[x.train], minlength=FEATURES * classes).reshape(FEATURES, classes)
 
-    (seen,), _ = _shard_sums(coded, observed, 1)
+    (seen,), _ = _shard_sums(coded, observed, 1, classes)
     ratio = np.log((seen + PRIOR * share) / (seen.sum(1, keepdims=True) + PRIOR)) - np.log(share)
     weights, log_m = (START * ratio).astype(np.float32), np.full(CLASSES, np.log(EVIDENCE))
     for _ in range(ROUNDS):
@@ -275,20 +287,19 @@ def train(coded: DataFrame, types: np.ndarray, tokens: np.ndarray) -> tuple[np.n
             w, b, lm = held.value
             x = Block(arrays)
             for i, rows in x.batches(x.train):
-                log = _log_probabilities(w, b, rows)
+                expected = _probabilities(w, b, rows)
                 c = x.cls[i]
-                expected = np.exp(log)
                 for r in rows:
                     _sum_rows(total[0], r, expected)
                 # how the log probability moves with log m, the token itself left out of the counts
                 k = class_of(x.last[i])
                 m = np.exp(lm[k])
-                own = m * np.exp(log[np.arange(len(i)), c] + _inside(types, tokens, c, x.count[i]))
+                own = m * expected[np.arange(len(i)), c] * np.exp(_inside(types, tokens, c, x.count[i]))
                 slope = own / (x.pair[i] - 1 + own) - m / (x.last[i] - 1 + m)
                 small[0] += np.bincount(k, slope, CLASSES)
                 small[1] += np.bincount(k, slope * slope, CLASSES)
 
-        (expected,), small = _shard_sums(coded, gradient, 1)
+        (expected,), small = _shard_sums(coded, gradient, 1, classes)
         weights = (weights + STEP * (seen - expected) / (expected + RIDGE)).astype(np.float32)
         log_m = log_m + np.clip(small[0] / (small[1] + 1), -2, 2)
         held.unpersist()
@@ -307,7 +318,7 @@ def scored(coded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], t
                 log = np.empty(len(x.cls), np.float64)
                 for i, rows in x.batches(np.ones(len(x.cls), bool)):
                     c = x.cls[i]
-                    p0 = _log_probabilities(w, b, rows)[np.arange(len(i)), c] + _inside(types, tokens, c, x.count[i])
+                    p0 = np.log(np.maximum(_probabilities(w, b, rows)[np.arange(len(i)), c], TINY)) + _inside(types, tokens, c, x.count[i])
                     log[i] = _tilted(p0, x.pair[i], x.last[i], m[class_of(x.last[i])])
                 score = np.add.reduceat(log, x.first[:-1]) / np.log(10) if len(x.ids) else np.zeros(0)
                 yield from pa.table({
