@@ -20,17 +20,19 @@ empty chunk counts as a chunk and adds nothing; keys with markers alone flush no
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from revlens.streaming.fold_stream import in_order
 from revlens.streaming.state import use_rocksdb
 
 STATE = "opened long, clock long, last long, number int, first long, n long, content string"
 OUT = ["opened_at", "flush_no", "flushed_at", "reason", "n_chunks", "content"]
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 class Buffer:
@@ -82,9 +84,10 @@ class _Flusher(StatefulProcessor):
         self.handle, self.held = handle, handle.getValueState("buffer", STATE)
 
     def _open(self) -> Buffer:
-        return Buffer(tuple(self.held.get()) if self.held.exists() else None, self.interval, self.sep)
+        state = self.held.get()
+        return Buffer(None if state is None else tuple(state), self.interval, self.sep)
 
-    def _done(self, key, buffer: Buffer, due: int | None) -> Iterator[pd.DataFrame]:
+    def _done(self, key, buffer: Buffer, due: int | None) -> Iterator[Row]:
         if buffer.opened is None:
             self.held.clear()
         else:
@@ -95,22 +98,18 @@ class _Flusher(StatefulProcessor):
                 self.handle.deleteTimer(-(-due // 1000))
             if now is not None:
                 self.handle.registerTimer(-(-now // 1000))
-        if buffer.out:
-            rows = pd.DataFrame(buffer.out, columns=OUT)
-            rows.insert(0, self.key_col, [key[0]] * len(rows))
-            for c in ("opened_at", "flushed_at"):
-                rows[c] = pd.to_datetime(rows[c], unit="us")
-            yield rows
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["micros", *self.order], kind="mergesort")
+        made = Row(self.key_col, *OUT)
+        for opened, number, at, reason, n, content in buffer.out:
+            yield made(key[0], EPOCH + timedelta(microseconds=opened), number, EPOCH + timedelta(microseconds=at), reason, n, content)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         buffer = self._open()
         due = buffer.due
-        for at, kind, text in zip(pdf["micros"].tolist(), pdf[self.kind_col].tolist(), pdf[self.text_col].tolist()):
-            buffer.event(at, kind, text, self.end_kinds, self.close_kind)
+        for r in in_order(rows, ["micros", *self.order]):
+            buffer.event(r["micros"], r[self.kind_col], r[self.text_col], self.end_kinds, self.close_kind)
         yield from self._done(key, buffer, due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         buffer = self._open()
         if buffer.n and -(-buffer.due // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
             buffer.clock = max(buffer.clock, buffer.due)
@@ -134,4 +133,4 @@ def buffered_flush_stream(
     events = chunks.where(F.col(ts_col).isNotNull()).withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
     events = events.select(key_col, ts_col, *order_cols, kind_col, text_col, F.unix_micros(ts_col).alias("micros"))
     flusher = _Flusher(key_col, order_cols, kind_col, text_col, round(interval_seconds * 1_000_000), end_kinds, close_kind, sep)
-    return events.groupBy(key_col).transformWithStateInPandas(flusher, out, "append", "EventTime")
+    return events.groupBy(key_col).transformWithState(flusher, out, "append", "EventTime")

@@ -16,11 +16,11 @@ meet earlier ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -55,6 +55,24 @@ def _tagged(rows: DataFrame, key_col: str, step, order: Sequence[str], out: T.St
     return rows.groupBy(key_col).transformWithStateInPandas(tagger, out, "append", "ProcessingTime" if timeout_ms else "None")
 
 
+class _RowTagger(_Tagger):
+    """The same for a step over rows: a frame for every key costs more than the rows of most keys."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        state = self.held.get()
+        epoch = timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms else 0
+        tagged, state = self.step(in_order(rows, self.order), None if state is None else tuple(state), epoch)
+        self.held.update(state)
+        made = Row(*self.columns)
+        for values in tagged:
+            yield made(*values)
+
+
+def in_order(rows: Iterable[Row], order: Sequence[str]) -> list[Row]:
+    """Rows by ``order``, NULL last; those that tie as they came."""
+    return sorted(rows, key=lambda r: [(r[c] is None, r[c]) for c in order])
+
+
 def fold_numbers(types: pd.Series, always_new: Sequence[str], clear_type: str | None, last_type, msg_no: int, epoch: int):
     """(epochs, message numbers, new state) of chunks in order; a clear chunk has no number."""
     cleared = (types == clear_type).to_numpy() if clear_type is not None else np.zeros(len(types), bool)
@@ -121,11 +139,16 @@ def tag_responses_stream(
 
     kept = T.StructType([T.StructField("done", long), T.StructField("epoch", long)])
 
-    def tag(pdf: pd.DataFrame, state: tuple | None, epoch: int):
-        done, epoch = state or (0, epoch)
-        marker = pdf[kind_col].isin(list(end_kinds)).to_numpy()
-        # response number = end markers seen before the row (a marker closes its own response)
-        before = done + (marker.cumsum() - marker)
-        return pdf.assign(epoch=epoch, response_no=before.astype("int64")), (int(done + marker.sum()), int(epoch))
+    ends, columns = set(end_kinds), [f.name for f in out.fields[:-2]]
 
-    return _tagged(events, key_col, tag, order, out, kept, timeout_ms)
+    def tag(rows: list[Row], state: tuple | None, epoch: int):
+        done, epoch = state or (0, epoch)
+        tagged = []
+        for r in rows:  # response number = end markers seen before the row (a marker closes its own response)
+            tagged.append((*(r[c] for c in columns), epoch, done))
+            done += r[kind_col] in ends
+        return tagged, (done, epoch)
+
+    use_rocksdb(events.sparkSession)
+    tagger = _RowTagger(tag, order, out.names, kept, timeout_ms)
+    return events.groupBy(key_col).transformWithState(tagger, out, "append", "ProcessingTime" if timeout_ms else "None")
