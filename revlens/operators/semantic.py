@@ -8,7 +8,7 @@ is an ``embedder`` of ``build_index`` and ``AnswerConfig``.
 * The subspace of the greatest singular values comes from power rounds: every task multiplies its rows with the
   basis and adds up ``rows^T (rows basis)``, some rows at a time as dense products over the features they hold.
   The sums of all tasks are added as a tree, by ranges of features: no group gets more than ``FAN_IN`` pieces.
-* Every round reads the texts again; no row of the corpus leaves its task.
+* The texts are split once, into features in the scratch folder, which every round reads.
 
 The basis (``features`` x ``dim + OVERSAMPLE`` numbers of four bytes, 26 MB by default) is the model: it does not
 grow with the corpus, is sent to the executors and orthonormalised on the driver between rounds.
@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from revlens.functions.text import words
 from revlens.operators.embed import DEFAULT_DIM
 from revlens.operators.joins import spread
+from revlens.session import scratch_path
 
 FEATURES = 1 << 14
 OVERSAMPLE = 16
@@ -159,8 +160,10 @@ class LsaModel:
 
 
 def fit(df: DataFrame, text_col: str, dim: int = DEFAULT_DIM, features: int = FEATURES, rounds: int = ROUNDS, seed: int = 7) -> LsaModel:
-    """The model of all texts of ``df``, which is read ``rounds + 2`` times (a table or a checkpoint)."""
-    lists = spread(df.select(text_col)).select(_features(text_col, features).alias("_features"))
+    """The model of all texts of ``df``, which is read once: the rounds read the features of its words."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "lsa-features")
+    spread(df.select(text_col)).select(_features(text_col, features).alias("_features")).write.parquet(path)
+    lists = spread(spark.read.schema("_features array<int>").parquet(path))
     n = lists.rdd.getNumPartitions()
     count = lists.agg(F.count_if(F.size("_features") > 0)).first()[0]
     seen = np.zeros(features)
