@@ -31,6 +31,8 @@ from revlens.llm.arrays import P_BYTE, P_BYTE2, U, Texts, cut_bytes, hash_spans,
 WIDTH = 50
 TRIGGER = 24
 PHRASES, SUFFIXES = 1, 2
+#: Bytes of rows that are parsed at a time (a longer row is alone): some ten numbers are held for each.
+BYTES_AT_ONCE = 1 << 17
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -68,7 +70,7 @@ def parse(t: Texts, width: int, trigger: int):
     """(trigger hash, phrase hash, row, first window, windows) of every phrase; some rows at a time."""
     none = np.zeros(0, np.int64)
     out = [(none.astype(U), none.astype(U), none, none, none)]
-    for a, b in row_groups(t.off):
+    for a, b in row_groups(t.off, BYTES_AT_ONCE):
         got = _parse(t.rows(a, b), width, trigger)
         if got:
             out.append((got[0], got[1], got[2] + a, got[3] + t.off[a], got[4]))
@@ -98,7 +100,7 @@ def _phrases(items, sender):
     return out
 
 
-def _suffixes(width: int, at_once: int = 1 << 18):
+def _suffixes(width: int, at_once: int = 1 << 16):
     def later(ids, size, data):
         """For every string of a dictionary the bits of its suffixes that a smaller document has, too."""
         item = np.repeat(np.arange(len(size)), size)
