@@ -63,7 +63,8 @@ def _parse(t: Texts, width: int, trigger: int):
     left = place - first
     phrase = hash_spans(t.buf, first, first + count + width - 1, P_BYTE2)
     row = np.searchsorted(t.off, first, "right") - 1
-    return h[place], mix(phrase + left.astype(U)), row, first, count
+    # a least hash is a small number: mixed, or the first ranges would get most of the triggers
+    return mix(h[place]), mix(phrase + left.astype(U)), row, first, count
 
 
 def parse(t: Texts, width: int, trigger: int):
