@@ -18,6 +18,7 @@ executors: a block recomputed after a loss must hold the same rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,6 +74,14 @@ def load(body: bytes) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep of freed memory: a worker outlives its stage, and those
+    of an executor share one limit."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
@@ -110,6 +119,8 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
                 held.append(b.slice(first))
         if held:
             yield block()
+        held = []
+        give_back()
 
     return map_rows(docs, fn, "block long, payload binary").repartition(parts(docs.sparkSession), "block")
 
@@ -163,6 +174,7 @@ def each_block(blocks: DataFrame, fn: Callable[[int, pa.Table], pa.Table], schem
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
                 yield from fn(block, unpack(payload.as_py())).to_batches()
+                give_back()
 
     return blocks.select("block", "payload").mapInArrow(run, schema)
 
@@ -180,6 +192,8 @@ def meet(sent: DataFrame, fn: Callable[[list[np.ndarray], np.ndarray], np.ndarra
             part, at = got[at : at + n], at + n
             if part.any():
                 rows.append((block, kind, start, dump(np.packbits(part) if part.dtype == bool else part)))
+        del bodies, got
+        give_back()
         return table(ANSWER, rows)
 
     spark = sent.sparkSession
@@ -203,7 +217,9 @@ def with_answers(blocks: DataFrame, marks: DataFrame, fn: Callable[[int, pa.Tabl
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (block,), (payload,) = left["block"].to_pylist(), left["payload"].to_pylist()
-        return fn(block, unpack(payload), right)
+        out = fn(block, unpack(payload), right)
+        give_back()
+        return out
 
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
 
