@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions.text import words
 from revlens.operators.joins import spread
+from revlens.session import scratch_path
 
 SENT_BYTES = 4 << 20
 
@@ -96,7 +97,9 @@ def match_vocabulary(
     clash = {"value", "entry", "n_found"} & set(df.columns)
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}: they are results")
-    entries = entries_of(vocab, surface_col, value_col)
+    path = scratch_path(df.sparkSession, "entries")  # read several times: its size, its lengths, the join
+    entries_of(vocab, surface_col, value_col).write.parquet(path)
+    entries = df.sparkSession.read.parquet(path)
     if strategy == "auto":
         size = entries.agg(F.sum(F.octet_length("entry") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]
         strategy = "sent" if (size or 0) <= SENT_BYTES else "joined"

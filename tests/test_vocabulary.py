@@ -59,3 +59,12 @@ def test_hundred_thousand_entries(spark):
     a, b = (match_vocabulary(df, "id", "text", vocab, "s", "v", k) for k in ("sent", "joined"))
     assert entries_of(vocab, "s", "v").count() == 100_000
     assert a.exceptAll(b).count() == 0 and a.where("value = id * 200 AND n_found = 1").count() == 500
+
+
+def test_vocabulary_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    vocab = spark.createDataFrame(VOCAB, "s string, v string").rdd.map(lambda r: (seen.add(1), tuple(r))[1]).toDF("s string, v string")
+    df = spark.createDataFrame(TEXTS, "id int, text string")
+    out = match_vocabulary(df, "id", "text", vocab, "s", "v", "joined")
+    assert {r.id: (r.value, r.entry, r.n_found) for r in out.collect()} == {i: brute(t) for i, t in TEXTS}
+    assert seen.value == len(VOCAB)
