@@ -52,9 +52,10 @@ def dump(*arrays: np.ndarray, level: int = 1) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         diff = a.dtype == U and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
-        raw = (np.diff(a, prepend=a.dtype.type(0)) if diff else a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
-        packed = pa.Codec("zstd", level).compress(raw, asbytes=True) if raw else b""
-        out += [np.array([len(a), len(packed), len(raw), diff], np.int64).tobytes(), a.dtype.str.ljust(8).encode(), packed]
+        planes = (np.diff(a, prepend=a.dtype.type(0)) if diff else a).view(np.uint8).reshape(len(a), -1 if len(a) else 1).T
+        raw = np.ascontiguousarray(planes)  # many times faster than tobytes of the transposed view
+        packed = pa.Codec("zstd", level).compress(raw, asbytes=True) if raw.size else b""
+        out += [np.array([len(a), len(packed), raw.nbytes, diff], np.int64).tobytes(), a.dtype.str.ljust(8).encode(), packed]
     return b"".join(out)
 
 
@@ -65,8 +66,11 @@ def load(body: bytes) -> list[np.ndarray]:
         dtype = np.dtype(body[at + 32 : at + 40].decode().strip())
         at += 40
         if length:
-            a = np.frombuffer(_ZSTD.decompress(body[at : at + size], raw, asbytes=True), np.uint8)
-            a = np.ascontiguousarray(a.reshape(dtype.itemsize, length).T).view(dtype).reshape(-1)
+            planes = np.frombuffer(_ZSTD.decompress(body[at : at + size], raw, asbytes=True), np.uint8).reshape(dtype.itemsize, length)
+            a = np.empty((length, dtype.itemsize), np.uint8)
+            for k in range(dtype.itemsize):
+                a[:, k] = planes[k]
+            a = a.view(dtype).reshape(-1)
         else:
             a = np.zeros(0, dtype)
         out.append(np.cumsum(a, dtype=U) if diff else a)

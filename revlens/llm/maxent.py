@@ -49,7 +49,7 @@ from revlens.llm import blocks as B
 from revlens.llm.arrays import PLAIN, U, Texts, mix, run_starts, word_hash, words_of
 
 CLASSES = 32
-FEATURES = 1 << 13
+FEATURES = 1 << 13  # a power of two, at most 2^16
 ROUNDS = 2
 STEP = 0.5
 EVIDENCE = 4.0  # first value of every m
@@ -60,6 +60,7 @@ SHARDS = 16
 FAN = 64
 TINY = np.float32(1e-37)  # least class probability whose logarithm is taken
 BATCH = 1 << 16
+STRETCH = 1 << 11  # tokens whose probabilities are worked out or added up at a time: they stay in the processor's cache
 HELD_OUT = (7, 2)
 END = U(0x452821E638D01377)
 COUNTS, STATS, PAIRS = 1, 2, 3
@@ -95,12 +96,17 @@ def _pairs(tokens: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return mix(mix(last ^ PAIR_KEY) + tokens) & U((1 << 64) - (1 << 64 - bits))
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all of them fit."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else U)
+
+
 def _add_up(t: pa.Table, n: int) -> pa.Table:
     """Sums of a range's counts; ranges from n on are those of pairs."""
     kind = COUNTS if t["bucket"][0].as_py() < n else PAIRS
     bodies = [B.load(x.as_py()) for x in t["body"]]
     name, count = (np.concatenate(x) for x in zip(*bodies))
-    order = np.argsort(name, kind="stable")
+    order = np.argsort(name)  # sums of whole numbers: equal names in any order
     heads = run_starts(name[order])
     group = np.cumsum(heads) - 1
     total = np.bincount(group, count[order])
@@ -108,7 +114,7 @@ def _add_up(t: pa.Table, n: int) -> pa.Table:
     of[order] = total[group]
     rows, at = [], 0
     for block, start, x in zip(t["block"].to_pylist(), t["start"].to_pylist(), bodies):
-        rows.append((block, kind, start, B.dump(of[at : at + len(x[0])].astype(U)), 0, 0))
+        rows.append((block, kind, start, B.dump(_narrow(of[at : at + len(x[0])])), 0, 0))
         at += len(x[0])
     if kind == PAIRS:
         return B.table(SUMS, rows)
@@ -119,17 +125,20 @@ def _add_up(t: pa.Table, n: int) -> pa.Table:
     return B.table(SUMS, rows)
 
 
-def _features(word: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Rows of the weights for every token: last token, pair of last tokens, the one before the last."""
-    n = len(word)
-    back1, back2 = np.zeros(n, U), np.zeros(n, U)
-    back1[1:], back2[2:] = word[:-1], word[:-2]
+def _features(word: np.ndarray, first: np.ndarray, number: np.ndarray | None = None) -> list[np.ndarray]:
+    """Rows of the weights for every token: last token, pair of last tokens, the one before the last.
+    ``word`` has every token, or the distinct ones with each token's ``number`` among them: what one
+    word decides is hashed once a word."""
+    number = np.arange(len(word)) if number is None else number.astype(np.int64)
+    back1, back2 = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)  # 0: none
+    back1[1:], back2[2:] = number[:-1] + 1, number[:-2] + 1
     start = first[:-1]
     back1[start] = back2[start] = 0
     second = start[np.diff(first) > 1] + 1
     back2[second] = 0
-    hashed = lambda kind, x: (mix(x * U(4) + U(kind)) % U(FEATURES)).astype(np.int64)
-    return [hashed(0, back1), hashed(1, mix(back1) + back2), hashed(2, back2)]
+    word = np.append(U(0), word)
+    hashed = lambda kind, x: (mix(x * U(4) + U(kind)) & U(FEATURES - 1)).astype(np.int64)
+    return [hashed(0, word)[back1], hashed(1, mix(word)[back1] + word[back2]), hashed(2, word)[back2]]
 
 
 def _log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -137,20 +146,26 @@ def _log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndar
 
 
 def _probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    x = weights[rows[0]]
-    x += weights[rows[1]]
-    x += weights[rows[2]]
-    x += bias
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+    out = np.empty((len(rows[0]), len(bias)), np.float32)
+    for a in range(0, len(out), STRETCH):
+        x = weights.take(rows[0][a : a + STRETCH], 0)
+        x += weights.take(rows[1][a : a + STRETCH], 0)
+        x += weights.take(rows[2][a : a + STRETCH], 0)
+        x += bias
+        x -= np.ascontiguousarray(x.T).max(0)[:, None]  # a maximum along short rows is slow
+        np.exp(x, out=x)
+        np.divide(x, x.sum(1, keepdims=True), out=out[a : a + STRETCH])
+    return out
 
 
 def _sum_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    heads = np.flatnonzero(run_starts(rows[order]))
-    into[rows[order][heads]] += np.add.reduceat(values[order], heads)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # numpy sorts 16-bit numbers by radix
+    rows = rows[order]
+    heads = np.flatnonzero(run_starts(rows))
+    at, edges = rows[heads], np.append(heads, len(rows))
+    cuts = np.unique(np.append(np.searchsorted(heads, np.arange(0, len(rows), STRETCH)), len(heads))).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:]):  # whole rows, as reduceat goes over its input once a column
+        into[at[a:b]] += np.add.reduceat(values.take(order[edges[a] : edges[b]], 0), heads[a:b] - edges[a])
 
 
 def _shard_sums(coded: DataFrame, per_block, n_arrays: int, classes: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -219,12 +234,11 @@ def code(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         number = np.empty(len(names), np.uint32)
         number[order] = np.arange(len(names), dtype=np.uint32)
         per = lambda x: np.add.reduceat(x, first[:-1]) if t.num_rows else np.zeros(0)
-        seen = count[index].astype(np.float64)
-        base = per(np.log10((seen + 1) / (size + words + 1)))
+        base = per(np.log10((count.astype(np.float64) + 1) / (size + words + 1))[index])
         null = np.asarray(t["doc_id"].combine_chunks().is_null(), np.uint8)
         end = np.array([np.searchsorted(names, END)], np.int64)
         held = held_out(t["doc_id"]).astype(np.uint8)
-        body = B.dump(B.ids_of(t, "doc_id"), null, held, np.diff(first), per((seen > 0).astype(np.int64)), base, count[order], (names[order] >> U(32)).astype(np.uint32), number[end], number[index], pair)
+        body = B.dump(B.ids_of(t, "doc_id"), null, held, np.diff(first), per((count > 0).astype(np.int64)[index]), base, _narrow(count[order]), (names[order] >> U(32)).astype(np.uint32), number[end], number[index], _narrow(pair))
         return pa.table({"block": pa.array([block], pa.int64()), "body": pa.array([body], pa.binary())})
 
     marks = sums.where(F.col("kind") != STATS).select("block", "kind", "start", "body").repartition(B.parts(blocks.sparkSession), "block")
@@ -232,18 +246,21 @@ def code(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A coded block's tokens: class, rows of features, counts of the token, its pair and the last token."""
+    """A coded block's tokens: number of the word, class, rows of features, counts of the pair and the last
+    token, class of the last token; and its distinct words with count and class, from which tokens take theirs."""
 
     def __init__(self, arrays: list[np.ndarray]):
         self.ids, self.null, self.held, self.size, self.known, self.base, count, word, end, number, pair = arrays
         self.first = np.append(0, np.cumsum(self.size))
-        self.count = count[number].astype(np.float64)
-        self.cls = class_of(self.count).astype(np.int64)
-        self.rows = _features(word[number].astype(U) + U(1), self.first)
+        self.words = count.astype(np.float64)
+        self.kinds = class_of(self.words).astype(np.int64)
+        self.number = number.astype(np.int64)
+        self.cls = self.kinds[self.number]
+        self.rows = _features(word.astype(U) + U(1), self.first, self.number)
         self.pair = pair.astype(np.float64)
-        last = np.roll(number, 1)
+        last = np.roll(self.number, 1)
         last[self.first[:-1]] = end[0]
-        self.last = count[last].astype(np.float64)
+        self.last, self.last_cls = self.words[last], self.kinds[last]
         self.train = np.repeat(self.held == 0, self.size)
 
     def batches(self, use: np.ndarray):
@@ -274,8 +291,9 @@ def train(coded: DataFrame, types: np.ndarray, tokens: np.ndarray) -> tuple[np.n
 
     def observed(arrays, total, _):
         x = Block(arrays)
+        cls = x.cls[x.train]
         for r in x.rows:
-            total[0] += np.bincount(r[x.train] * classes + x.cls[x.train], minlength=FEATURES * classes).reshape(FEATURES, classes)
+            total[0] += np.bincount(r[x.train] * classes + cls, minlength=FEATURES * classes).reshape(FEATURES, classes)
 
     (seen,), _ = _shard_sums(coded, observed, 1, classes)
     ratio = np.log((seen + PRIOR * share) / (seen.sum(1, keepdims=True) + PRIOR)) - np.log(share)
@@ -286,15 +304,16 @@ def train(coded: DataFrame, types: np.ndarray, tokens: np.ndarray) -> tuple[np.n
         def gradient(arrays, total, small, held=held):
             w, b, lm = held.value
             x = Block(arrays)
+            inside, m_of = np.exp(_inside(types, tokens, x.kinds, x.words)), np.exp(lm)
             for i, rows in x.batches(x.train):
                 expected = _probabilities(w, b, rows)
                 c = x.cls[i]
                 for r in rows:
                     _sum_rows(total[0], r, expected)
                 # how the log probability moves with log m, the token itself left out of the counts
-                k = class_of(x.last[i])
-                m = np.exp(lm[k])
-                own = m * expected[np.arange(len(i)), c] * np.exp(_inside(types, tokens, c, x.count[i]))
+                k = x.last_cls[i]
+                m = m_of[k]
+                own = m * expected[np.arange(len(i)), c] * inside[x.number[i]]
                 slope = own / (x.pair[i] - 1 + own) - m / (x.last[i] - 1 + m)
                 small[0] += np.bincount(k, slope, CLASSES)
                 small[1] += np.bincount(k, slope * slope, CLASSES)
@@ -315,11 +334,11 @@ def scored(coded: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], t
         for batch in batches:
             for body in batch.column(0):
                 x = Block(B.load(body.as_py()))
-                log = np.empty(len(x.cls), np.float64)
+                inside, log = _inside(types, tokens, x.kinds, x.words), np.empty(len(x.cls), np.float64)
                 for i, rows in x.batches(np.ones(len(x.cls), bool)):
                     c = x.cls[i]
-                    p0 = np.log(np.maximum(_probabilities(w, b, rows)[np.arange(len(i)), c], TINY)) + _inside(types, tokens, c, x.count[i])
-                    log[i] = _tilted(p0, x.pair[i], x.last[i], m[class_of(x.last[i])])
+                    p0 = np.log(np.maximum(_probabilities(w, b, rows)[np.arange(len(i)), c], TINY)) + inside[x.number[i]]
+                    log[i] = _tilted(p0, x.pair[i], x.last[i], m[x.last_cls[i]])
                 score = np.add.reduceat(log, x.first[:-1]) / np.log(10) if len(x.ids) else np.zeros(0)
                 yield from pa.table({
                     "doc_id": pa.array(x.ids, pa.int64(), mask=x.null.astype(bool)), "held_out": x.held.astype(bool), "n_tokens": x.size.astype(np.int64), "n_known": x.known.astype(np.int64),
