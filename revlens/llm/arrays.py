@@ -29,7 +29,7 @@ def powers(p: np.uint64, n: int) -> np.ndarray:
     """p**0 .. p**(n-1) modulo 2**64; kept and grown as longer ones are asked for."""
     have = _POWERS.get(int(p))
     if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 20), p, U)
+        x = np.full(1 << max(n - 1, 1).bit_length(), p, U)
         x[0] = 1
         _POWERS[int(p)] = have = np.multiply.accumulate(x)
     return have[:n]
@@ -52,8 +52,9 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
-def poly_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint64, chunk: int = 1 << 19) -> np.ndarray:
-    """``span_hash`` of many spans, a stretch of values at a time (numbers of the stretch's length are held, not of all).
+def poly_spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.uint64, chunk: int = 1 << 17) -> np.ndarray:
+    """``span_hash`` of many spans, a stretch of values at a time (numbers of the stretch's length are held, not of all;
+    its powers stay for as long as the worker does).
 
     A polynomial modulo 2**64: for spans of some tens of values, as windows of words (whose values are
     mixed hashes themselves) or rolling triggers.  Long runs of few different values can collide, so

@@ -86,6 +86,27 @@ def give_back() -> None:
         trim(0)
 
 
+def task_gives_back(fn: Callable) -> Callable:
+    """For ``mapInArrow``: ``fn``, and ``give_back`` when it has ended and so holds nothing itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def group_gives_back(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """For ``applyInArrow``: the same after every group."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = fn(t)
+        give_back()
+        return out
+
+    return run
+
+
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
@@ -123,8 +144,6 @@ def pack(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) ->
                 held.append(b.slice(first))
         if held:
             yield block()
-        held = []
-        give_back()
 
     return map_rows(docs, fn, "block long, payload binary").repartition(parts(docs.sparkSession), "block")
 
@@ -136,7 +155,7 @@ def map_rows(docs: DataFrame, fn: Callable, schema: str | StructType) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return fn(pa.RecordBatch.from_arrays(b.columns, names) for b in batches)
 
-    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(task_gives_back(run), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, size: int = BLOCK_BYTES // 2) -> Iterator[pa.RecordBatch]:
@@ -196,12 +215,10 @@ def meet(sent: DataFrame, fn: Callable[[list[np.ndarray], np.ndarray], np.ndarra
             part, at = got[at : at + n], at + n
             if part.any():
                 rows.append((block, kind, start, dump(np.packbits(part) if part.dtype == bool else part)))
-        del bodies, got
-        give_back()
         return table(ANSWER, rows)
 
     spark = sent.sparkSession
-    return sent.groupBy("bucket").applyInArrow(run, ANSWER).repartition(parts(spark), "block")
+    return sent.groupBy("bucket").applyInArrow(group_gives_back(run), ANSWER).repartition(parts(spark), "block")
 
 
 def answers(marks: pa.Table, kind: int, n: int, dtype=bool) -> np.ndarray:

@@ -212,7 +212,7 @@ def encoded(blocks: DataFrame, held, finish, schema: str, text_col: str = "text"
         return finish(t, ids, np.append(0, np.cumsum(count[index]))[first])
 
     sent = B.each_block(blocks, send, B.SENT)
-    back = sent.groupBy("bucket").applyInArrow(encode, B.ANSWER).repartition(B.parts(blocks.sparkSession), "block")
+    back = sent.groupBy("bucket").applyInArrow(B.group_gives_back(encode), B.ANSWER).repartition(B.parts(blocks.sparkSession), "block")
     return B.with_answers(blocks, back, apply, schema)
 
 

@@ -148,7 +148,7 @@ def _postings(classes: DataFrame, similarity: int) -> DataFrame:
 
             yield from B.sends(0, n_ranges, s, pos.astype(np.uint32), beside=table).to_batches()
 
-    return classes.select("node", "n_shingles", "alone", "rest", "part").mapInArrow(run, B.SENT)
+    return classes.select("node", "n_shingles", "alone", "rest", "part").mapInArrow(B.task_gives_back(run), B.SENT)
 
 
 def _lists(t: pa.Table):
@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFram
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         classes = classes.join(F.broadcast(nodes), "node", "left_semi")
     side = lambda k: classes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("rest").alias(f"r{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, PAIRS)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(B.task_gives_back(run), PAIRS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _pair_up(classes: DataFrame, links: DataFrame | None, fn, similarity: int) -
         known = classes.withColumn("part", F.col("node"))
     else:
         known = classes.join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    return _slim(_postings(known, similarity).groupBy("bucket").applyInArrow(fn(similarity), PAIRS).distinct())
+    return _slim(_postings(known, similarity).groupBy("bucket").applyInArrow(B.group_gives_back(fn(similarity)), PAIRS).distinct())
 
 
 def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

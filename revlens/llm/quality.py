@@ -146,7 +146,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_r
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(m[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(kept)], [id_col, *COUNTS, "base_failed", "kept"])
 
     schema = f"{id_col} long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"
-    return B.chosen(docs, id_col, text_col).mapInArrow(run, schema)
+    return B.chosen(docs, id_col, text_col).mapInArrow(B.task_gives_back(run), schema)
 
 
 def keep(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT, **limits) -> DataFrame:

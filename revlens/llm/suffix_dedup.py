@@ -33,6 +33,8 @@ TRIGGER = 24
 PHRASES, SUFFIXES = 1, 2
 #: Bytes of rows that are parsed at a time (a longer row is alone): some ten numbers are held for each.
 BYTES_AT_ONCE = 1 << 17
+#: Bytes of rows that are finished at a time: some four numbers are held for each.
+FINISHED_AT_ONCE = 1 << 19
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -78,6 +80,17 @@ def parse(t: Texts, width: int, trigger: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _covered(start: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of windows, from the flags of their first bytes."""
+    out, k = start.copy(), 1
+    while 2 * k <= width:
+        out[k:] |= out[:-k]
+        k *= 2
+    if width > k:
+        out[width - k :] |= out[: k - width]
+    return out
+
+
 def _dictionary(t: Texts, ids: np.ndarray, width: int, trigger: int):
     name, phrase, row, first, count = parse(t, width, trigger)
     order = np.lexsort((ids[row], phrase, name))
@@ -179,16 +192,17 @@ def removed_bytes(blocks: DataFrame, finish, schema: str, id_col: str = "doc_id"
         bits = np.zeros(len(name), U)
         bits[k] = B.answers(marks, SUFFIXES, len(k), U)
         all_of = later | ((got & 1) == 1)[entry]
-        steps = np.zeros(len(texts.buf) + 1, np.int64)
+        steps = np.zeros(len(texts.buf) + 1, np.int8)  # phrases share no window
         np.add.at(steps, first[all_of], 1)
         np.add.at(steps, first[all_of] + count[all_of], -1)
-        gone = np.cumsum(steps[:-1]) > 0
+        gone = np.cumsum(steps[:-1], dtype=np.int8) > 0
         some = np.flatnonzero(~all_of & (bits[entry] != 0))
         for j in range(width - trigger + 1):
             hit = some[(bits[entry[some]] >> U(j)) & U(1) == 1]
             gone[first[hit] + j] = True
-        c = np.concatenate([np.zeros(width, np.int64), np.cumsum(gone)])
-        return finish(t, texts, c[width:] - c[:-width] > 0 if len(gone) else gone)
+        gone = _covered(gone, width)
+        groups = row_groups(texts.off, FINISHED_AT_ONCE) or [(0, 0)]
+        return pa.concat_tables([finish(t.slice(a, b - a), texts.rows(a, b), gone[texts.off[a] : texts.off[b]]) for a, b in groups])
 
     phrases = B.meet(B.each_block(blocks, send_phrases, B.SENT), _phrases, PHRASES)
     suffixes = B.meet(B.with_answers(blocks, phrases, send_suffixes, B.SENT), _suffixes(width), SUFFIXES)
