@@ -103,7 +103,7 @@ def _stretches(size: np.ndarray, chunk: int):
         i = k
 
 
-def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64, chunk: int = 1 << 22) -> np.ndarray:
+def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64, chunk: int = 1 << 19) -> np.ndarray:
     """64-bit hashes of spans of bytes: a sum of mixed numbers of eight bytes, each under the key of its
     position, so that no arrangement of the same bytes cancels out.  Seeds give hashes that do not depend
     on each other."""
@@ -119,7 +119,7 @@ def hash_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uin
     return out
 
 
-def same_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
+def same_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
     """True where the bytes [a, a_end) and [b, b_end) are the same: hashes propose, this decides."""
     out = (a_end - a) == (b_end - b)
     ask = np.flatnonzero(out & (a != b))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from revlens.llm import blocks as B
-from revlens.llm.arrays import P_BYTE, Texts, exact_names, gather, hash_spans
+from revlens.llm.arrays import P_BYTE, Texts, exact_names, gather, hash_spans, row_groups
 
 SPACE, LETTER, NUMBER, OTHER, UNASSIGNED = 0, 1, 2, 3, 4
 #: White space of Unicode.
@@ -48,8 +48,8 @@ def default_path() -> str:
 def classes() -> np.ndarray:
     """Class of every code point."""
     kind = {"L": LETTER, "N": NUMBER}
-    name = [unicodedata.category(chr(c)) for c in range(0x110000)]
-    out = np.array([UNASSIGNED if x == "Cn" else kind.get(x[0], OTHER) for x in name], np.uint8)
+    name = map(unicodedata.category, map(chr, range(0x110000)))
+    out = np.fromiter((UNASSIGNED if x == "Cn" else kind.get(x[0], OTHER) for x in name), np.uint8, 0x110000)
     out[WHITE] = SPACE
     return out
 
@@ -119,8 +119,11 @@ def split_words(t: Texts, added: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _words(t: Texts, added: list[bytes]):
-    """Distinct words of a block (hash, starts, ends), the word at each place, and rows' first words."""
-    start, end, first = split_words(t, added)
+    """Distinct words of a block (hash, starts, ends), the word at each place, and rows' first words.  Some rows are
+    split at a time: every character has numbers of its own."""
+    parts = [(t.off[a], split_words(t.rows(a, b), added)) for a, b in row_groups(t.off) or [(0, 0)]]
+    start, end = (np.concatenate([x[k] + base for base, x in parts]) for k in (0, 1))
+    first = np.append(0, np.cumsum(np.concatenate([np.diff(x[2]) for _, x in parts])))
     name = hash_spans(t.buf, start, end, P_BYTE)
     names, one, index = exact_names(t.buf, start, end, name)
     return names, start[one], end[one], index, first

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from revlens.llm import arrays
+from revlens.llm import arrays, bpe
 from revlens.llm import blocks as B
 from revlens.llm import suffix_dedup as S
 
@@ -150,3 +150,22 @@ def test_group_gives_back_what_it_held_to_its_end(monkeypatch):
 
     assert B.group_gives_back(fn)(pa.table({"x": [1, 2]})).num_rows == 2
     assert len(given) == 1 and given[0][2] < given[0][0] - 50 and len(keep) == 3
+
+
+def test_splitting_holds_numbers_of_some_rows_only():
+    r = np.random.default_rng(4)
+    words = np.array([("".join(map(chr, r.integers(97, 123, k)))) for k in r.integers(2, 9, 20_000)])
+    rows = [" ".join(words[r.integers(0, len(words), 500)]) + " it's é <|x|>" for _ in range(1000)]
+    t = arrays.Texts.of(pa.array(rows))
+    whole = bpe.split_words(t, [b"<|x|>"])
+    tracemalloc.start()
+    try:
+        names, start, end, index, first = bpe._words(t, [b"<|x|>"])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+    assert first.tolist() == whole[2].tolist() and len(index) == len(whole[0])
+    assert (arrays.hash_spans(t.buf, whole[0], whole[1], arrays.P_BYTE) == names[index]).all()
+    none = bpe._words(arrays.Texts.of(pa.array([], pa.string())), [])
+    assert [len(x) for x in none] == [0, 0, 0, 0, 1]
