@@ -18,7 +18,6 @@ executors: a block recomputed after a loss must hold the same rows.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from revlens.functions.memory import give_back
+
 BLOCK_BYTES = 3 << 20
 SENT = "bucket int, block long, start long, body binary"
 ANSWER = "block long, kind int, start long, body binary"
@@ -78,14 +79,6 @@ def load(body: bytes) -> list[np.ndarray]:
     return out
 
 
-def give_back() -> None:
-    """Returns to the system what Arrow and the C library keep of freed memory: a worker outlives its stage, and those
-    of an executor share one limit."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
-        trim(0)
-
-
 def task_gives_back(fn: Callable) -> Callable:
     """For ``mapInArrow``: ``fn``, and ``give_back`` when it has ended and so holds nothing itself."""
 
