@@ -8,24 +8,34 @@ blanks), of those the earliest.  Two forms give the same rows:
 * ``sent``: the entries become an automaton over words on each executor, and texts stay where they are.  Only for a
   vocabulary whose measured size is at most ``SENT_BYTES``.
 * ``joined``: the texts' word sequences of the lengths that entries have are joined with the vocabulary; only hits
-  are grouped.  A sequence that many texts hold is split by AQE, as an entry is one row.
+  are grouped.  A sequence that many texts hold is split by AQE, as an entry is one row.  Blocks of texts ask first
+  which of their sequences' hashes the vocabulary has (``revlens.llm.blocks``; without these files every sequence goes
+  into the join): only sequences that may be entries travel as text, and the join compares the text.
 
 NULL and empty texts, and texts without a hit, have NULL as value and 0 hits.  Entries without a word are left out;
 of rows of the same words the smallest value counts.  Very long texts are matched whole.  Repeated rows of the texts
 are matched each when ``id_cols`` is unique, which the joined form needs.
 """
 
+import importlib.util
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revlens.functions.text import words
 from revlens.operators.joins import spread
-from revlens.session import scratch_path
+from revlens.session import scratch_path, shuffles_dropped
 
 SENT_BYTES = 4 << 20
+# Bits of a hash by which blocks of texts ask: more cost every sequence, fewer let more pass that are no entries.
+ASKED_BITS = 36
+# Entries whose hashes a task holds at once.
+ENTRIES_AT_ONCE = 1 << 20
 
 
 def entries_of(vocab: DataFrame, surface_col: str, value_col: str) -> DataFrame:
@@ -48,13 +58,89 @@ def sequences(text_col: str, sizes: Sequence[int]) -> Column:
     return F.flatten(F.transform(F.array(words(text_col)), lambda w: F.concat(*[of(w, n) for n in sizes])))
 
 
+def _asked(rows: DataFrame, names: list[str], sizes: Sequence[int], entries: DataFrame) -> DataFrame:
+    """``names``, ``entry, place``: the sequences of ``rows`` (``names`` and ``line``, words joined by blanks) whose hash
+    an entry has, once for each row with its first place."""
+    from revlens.llm import arrays as A
+    from revlens.llm import blocks as B
+
+    kind, seed, low = 1, A.P_BYTE2, np.uint64((1 << (64 - ASKED_BITS)) - 1)
+    blocks = B.pack(rows, "line", 2 * B.BLOCK_BYTES // max(2, len(sizes)))
+    n_ranges = B.ranges(rows.sparkSession)
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("entry", T.StringType()), T.StructField("place", T.IntegerType())])
+
+    def spans(rows: pa.Table):
+        """(texts, first byte, end, row, place) of every sequence; of one length in the order of the text."""
+        t = A.Texts.of(rows["line"])
+        w = A.words_of(t, A.PLAIN)
+        at = [np.flatnonzero(w.doc[: max(0, len(w.doc) - (n - 1))] == w.doc[n - 1 :]) for n in sizes]
+        start = np.concatenate([w.start[i] for i in at])
+        end = np.concatenate([w.end[i + (n - 1)] for i, n in zip(at, sizes)])
+        first = np.concatenate(at)
+        return t, start, end, w.doc[first], first - w.first[w.doc[first]] + 1
+
+    def short(buf, start, end):
+        return A.hash_bytes(buf, start, end, seed) & ~low
+
+    def ask(block: int, rows: pa.Table) -> pa.Table:
+        t, start, end, _, _ = spans(rows)
+        asked = np.unique(short(t.buf, start, end))
+        return B.sends(block, n_ranges, asked, np.zeros(len(asked), np.uint8))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def sent():
+            have = np.unique(np.concatenate(held))
+            held.clear()
+            return B.sends(-1, n_ranges, have, np.ones(len(have), np.uint8)).to_batches()
+
+        for b in batches:
+            t = A.Texts.of(b.column(0))
+            held.append(short(t.buf, t.off[:-1], t.off[1:]))
+            if sum(map(len, held)) >= ENTRIES_AT_ONCE:
+                yield from sent()
+        if held:
+            yield from sent()
+
+    def both(got: list[np.ndarray], _: np.ndarray) -> np.ndarray:
+        hashes, entry = got
+        order = np.argsort(hashes, kind="stable")
+        heads = np.flatnonzero(A.run_starts(hashes[order]))
+        has = np.logical_or.reduceat(entry[order] > 0, heads) if len(heads) else np.zeros(0, bool)
+        out = np.zeros(len(hashes), bool)
+        out[order] = np.repeat(has, np.diff(np.append(heads, len(hashes))))
+        return out & (entry == 0)
+
+    def found(_: int, rows: pa.Table, marks: pa.Table) -> pa.Table:
+        t, start, end, row, place = spans(rows)
+        asked, of = np.unique(short(t.buf, start, end), return_inverse=True)
+        at = np.flatnonzero(B.answers(marks, kind, len(asked))[of])
+        if len(at):
+            # names apart for what is not the same text: a repeat is one by its bytes
+            exact, _, name = A.exact_names(t.buf, start[at], end[at], A.hash_bytes(t.buf, start[at], end[at], seed))
+            at = at[np.unique(row[at] * len(exact) + name, return_index=True)[1]]
+        size = end[at] - start[at]
+        texts = A.strings(t.buf[A.gather(start[at], size)], np.append(0, np.cumsum(size))).cast(pa.string())
+        here = pa.array(row[at], pa.int64())
+        return pa.table([*(rows[c].combine_chunks().take(here) for c in names), texts, pa.array(place[at], pa.int32())], schema.names)
+
+    sent = B.each_block(blocks, ask, B.SENT).unionByName(B.map_rows(entries.select("entry"), known, B.SENT))
+    return B.with_answers(blocks, B.meet(sent, both, kind), found, schema)
+
+
 def _joined(df: DataFrame, id_cols: Sequence[str], text_col: str, entries: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in entries.select("n_words").distinct().collect())  # lengths, not entries
     if not sizes:
         return df.withColumns({"value": F.lit(None).cast("string"), "entry": F.lit(None).cast("string"), "n_found": F.lit(0).cast("bigint")})
     keys = [F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)]
     names = [f"_id{i}" for i in range(len(id_cols))]
-    found = spread(df).select(*keys, F.inline(sequences(text_col, sizes))).join(entries, "entry")
+    if importlib.util.find_spec("revlens.llm"):
+        lines = spread(df).select(*keys, F.array_join(words(text_col), " ").alias("line")).where(F.length("line") > 0)
+        found = _asked(lines, names, sizes, entries)
+    else:
+        found = spread(df).select(*keys, F.inline(sequences(text_col, sizes)))
+    found = found.join(entries, "entry").repartition(*names)  # once for both of the groupings
     found = found.groupBy(*names, "entry", "value").agg(F.min("place").alias("place"))
     best = F.max_by(F.struct("value", "entry"), F.struct(F.length("entry"), -F.col("place")))
     found = found.groupBy(*names).agg(best.alias("_b"), F.count(F.lit(1)).alias("_n"))
@@ -98,7 +184,8 @@ def match_vocabulary(
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)}: they are results")
     path = scratch_path(df.sparkSession, "entries")  # read several times: its size, its lengths, the join
-    entries_of(vocab, surface_col, value_col).write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        entries_of(vocab, surface_col, value_col).write.parquet(path)
     entries = df.sparkSession.read.parquet(path)
     if strategy == "auto":
         size = entries.agg(F.sum(F.octet_length("entry") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0]
