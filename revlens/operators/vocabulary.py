@@ -8,9 +8,8 @@ blanks), of those the earliest.  Two forms give the same rows:
 * ``sent``: the entries become an automaton over words on each executor, and texts stay where they are.  Only for a
   vocabulary whose measured size is at most ``SENT_BYTES``.
 * ``joined``: the texts' word sequences of the lengths that entries have are joined with the vocabulary; only hits
-  are grouped.  A sequence that many texts hold is split by AQE, as an entry is one row.  Blocks of texts ask first
-  which of their sequences' hashes the vocabulary has (``revlens.llm.blocks``; without these files every sequence goes
-  into the join): only sequences that may be entries travel as text, and the join compares the text.
+  are grouped.  Blocks of texts (``revlens.llm.blocks``; without these files a plain join) ask by short hashes which of
+  their sequences may be entries; these travel as text, once for a block, and the text decides.
 
 NULL and empty texts, and texts without a hit, have NULL as value and 0 hits.  Entries without a word are left out;
 of rows of the same words the smallest value counts.  Very long texts are matched whole.  Repeated rows of the texts
@@ -23,12 +22,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revlens.functions.text import words
-from revlens.operators.joins import spread
+from revlens.operators.joins import spread, with_group
 from revlens.session import scratch_path, shuffles_dropped
 
 SENT_BYTES = 4 << 20
@@ -58,50 +58,65 @@ def sequences(text_col: str, sizes: Sequence[int]) -> Column:
     return F.flatten(F.transform(F.array(words(text_col)), lambda w: F.concat(*[of(w, n) for n in sizes])))
 
 
-def _asked(rows: DataFrame, names: list[str], sizes: Sequence[int], entries: DataFrame) -> DataFrame:
-    """``names``, ``entry, place``: the sequences of ``rows`` (``names`` and ``line``, words joined by blanks) whose hash
-    an entry has, once for each row with its first place."""
+def _met(rows: DataFrame, names: list[str], sizes: Sequence[int], entries: DataFrame) -> DataFrame:
+    """``names``, ``entry, value, place, n``: the best entry of each of ``rows`` (``names``, ``line``: words joined by
+    blanks, ``_several``) with the number of its entries; where ``_several``, every entry with n = 1.  Rows without an
+    entry are left out.
+
+    Blocks of rows ask twice: by short hashes, which of their sequences may be entries, then with the text of those,
+    once for a block, which are.  What is asked and what is kept between the steps are scratch files.
+    """
     from revlens.llm import arrays as A
     from revlens.llm import blocks as B
 
+    spark = rows.sparkSession
     kind, seed, low = 1, A.P_BYTE2, np.uint64((1 << (64 - ASKED_BITS)) - 1)
-    blocks = B.pack(rows, "line", 2 * B.BLOCK_BYTES // max(2, len(sizes)))
-    n_ranges = B.ranges(rows.sparkSession)
-    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("entry", T.StringType()), T.StructField("place", T.IntegerType())])
+    n_ranges = B.ranges(spark)
+    fields = {c: rows.schema[c] for c in names}
+    schema = T.StructType([*fields.values(), T.StructField("entry", T.StringType()), T.StructField("value", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        with shuffles_dropped(spark):
+            df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     def spans(rows: pa.Table):
-        """(texts, first byte, end, row, place) of every sequence; of one length in the order of the text."""
+        """(texts, first byte, end, hash, row, place) of every sequence; of one length in the order of the text."""
         t = A.Texts.of(rows["line"])
         w = A.words_of(t, A.PLAIN)
         at = [np.flatnonzero(w.doc[: max(0, len(w.doc) - (n - 1))] == w.doc[n - 1 :]) for n in sizes]
         start = np.concatenate([w.start[i] for i in at])
         end = np.concatenate([w.end[i + (n - 1)] for i, n in zip(at, sizes)])
         first = np.concatenate(at)
-        return t, start, end, w.doc[first], first - w.first[w.doc[first]] + 1
+        return t, start, end, A.hash_bytes(t.buf, start, end, seed), w.doc[first], first - w.first[w.doc[first]] + 1
 
-    def short(buf, start, end):
-        return A.hash_bytes(buf, start, end, seed) & ~low
+    def text_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return buf[A.gather(start, end - start)]
+
+    def column(size: np.ndarray, text: np.ndarray) -> pa.Array:
+        return A.strings(text, np.append(0, np.cumsum(size, dtype=np.int64)))
 
     def ask(block: int, rows: pa.Table) -> pa.Table:
-        t, start, end, _, _ = spans(rows)
-        asked = np.unique(short(t.buf, start, end))
+        asked = np.unique(spans(rows)[3] & ~low)
         return B.sends(block, n_ranges, asked, np.zeros(len(asked), np.uint8))
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def sent():
-            have = np.unique(np.concatenate(held))
-            held.clear()
-            return B.sends(-1, n_ranges, have, np.ones(len(have), np.uint8)).to_batches()
-
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
         for b in batches:
-            t = A.Texts.of(b.column(0))
-            held.append(short(t.buf, t.off[:-1], t.off[1:]))
-            if sum(map(len, held)) >= ENTRIES_AT_ONCE:
-                yield from sent()
+            held.append(b)
+            n += b.num_rows
+            if n >= ENTRIES_AT_ONCE:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
         if held:
-            yield from sent()
+            yield pa.Table.from_batches(held)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in some(batches):
+            t = A.Texts.of(rows.column(0))
+            have = np.unique(A.hash_bytes(t.buf, t.off[:-1], t.off[1:], seed) & ~low)
+            yield from B.sends(-1, n_ranges, have, np.ones(len(have), np.uint8)).to_batches()
 
     def both(got: list[np.ndarray], _: np.ndarray) -> np.ndarray:
         hashes, entry = got
@@ -112,21 +127,85 @@ def _asked(rows: DataFrame, names: list[str], sizes: Sequence[int], entries: Dat
         out[order] = np.repeat(has, np.diff(np.append(heads, len(hashes))))
         return out & (entry == 0)
 
-    def found(_: int, rows: pa.Table, marks: pa.Table) -> pa.Table:
-        t, start, end, row, place = spans(rows)
-        asked, of = np.unique(short(t.buf, start, end), return_inverse=True)
+    def proposed(rows: pa.Table, marks: pa.Table):
+        """(spans, those that may be entries, the item that each of these is, one span of each item, the items' hashes):
+        an item is a text of the block, in the order of the hashes."""
+        all_spans = t, start, end, name, _, _ = spans(rows)
+        asked, of = np.unique(name & ~low, return_inverse=True)
         at = np.flatnonzero(B.answers(marks, kind, len(asked))[of])
-        if len(at):
-            # names apart for what is not the same text: a repeat is one by its bytes
-            exact, _, name = A.exact_names(t.buf, start[at], end[at], A.hash_bytes(t.buf, start[at], end[at], seed))
-            at = at[np.unique(row[at] * len(exact) + name, return_index=True)[1]]
-        size = end[at] - start[at]
-        texts = A.strings(t.buf[A.gather(start[at], size)], np.append(0, np.cumsum(size))).cast(pa.string())
-        here = pa.array(row[at], pa.int64())
-        return pa.table([*(rows[c].combine_chunks().take(here) for c in names), texts, pa.array(place[at], pa.int32())], schema.names)
-
+        _, one, item = A.exact_names(t.buf, start[at], end[at], name[at])  # by its bytes
+        order = np.lexsort((start[at][one], name[at][one]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return all_spans, at, rank[item], at[one[order]], name[at[one[order]]]
+
+    def propose(block: int, rows: pa.Table, marks: pa.Table) -> pa.Table:
+        (t, start, end, *_), _, _, one, hashes = proposed(rows, marks)
+        start, end = start[one], end[one]
+        return B.table(B.SENT, [(i, block, a, B.dump((end - start)[a:b].astype(np.uint32), text_of(t.buf, start[a:b], end[a:b]), level=3)) for i, a, b in B.cut(hashes, n_ranges)])
+
+    def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in some(batches):
+            t, v = A.Texts.of(rows.column(0)), A.Texts.of(rows.column(1))
+            hashes = A.hash_bytes(t.buf, t.off[:-1], t.off[1:], seed)
+            none, order, out = np.asarray(rows.column(1).is_null()), np.argsort(hashes), []
+            for i, a, b in B.cut(hashes[order], n_ranges):
+                pick = order[a:b]
+                texts = [x for y in (t, v) for x in (np.diff(y.off)[pick].astype(np.uint32), text_of(y.buf, y.off[:-1][pick], y.off[1:][pick]))]
+                out.append((i, -1, 0, B.dump(*texts, none[pick].astype(np.uint8), level=3)))
+            yield from B.table(B.SENT, out).to_batches()
+
+    def decide(t: pa.Table) -> pa.Table:
+        """For what a block proposed: the places of entries among it and their values."""
+        have, values, none, out = [], [], [], []
+        loaded = [(block, start, B.load(body.as_py())) for block, start, body in zip(t["block"].to_pylist(), t["start"].to_pylist(), t["body"])]
+        for _, _, x in (x for x in loaded if x[0] < 0):
+            have.append(column(*x[:2]))
+            values.append(column(*x[2:4]))
+            none.append(x[4])
+        if have:
+            have, values, none = pa.concat_arrays(have), A.Texts.of(pa.concat_arrays(values)), np.concatenate(none)
+            for block, start, x in (x for x in loaded if x[0] >= 0):
+                at = np.asarray(pc.index_in(column(*x), have).fill_null(-1), np.int64)  # by the text
+                hit = np.flatnonzero(at >= 0)
+                at = at[hit]
+                first, last = values.off[:-1][at], values.off[1:][at]
+                out.append((block, kind + 1, start, B.dump(hit.astype(np.uint32), (last - first).astype(np.uint32), text_of(values.buf, first, last), none[at], level=3)))
+        return B.table(B.ANSWER, out)
+
+    def best(_: int, rows: pa.Table, marks: pa.Table) -> pa.Table:
+        (t, start, end, _, row, place), at, item, one, _ = proposed(rows, marks)
+        value_at, values, none = np.full(len(one), -1), [pa.array([], pa.large_string())], [np.zeros(0, np.uint8)]
+        for k, first, body in zip(marks["kind"].to_pylist(), marks["start"].to_pylist(), marks["body"]):
+            if k == kind + 1:
+                hit, size, text, null = B.load(body.as_py())
+                value_at[first + hit.astype(np.int64)] = sum(map(len, values)) + np.arange(len(hit))
+                values.append(column(size, text))
+                none.append(null)
+        values, none = pa.concat_arrays(values), np.concatenate(none)
+        is_entry = value_at[item] >= 0
+        at, item = at[is_entry], item[is_entry]
+        pick = np.unique(row[at] * max(1, len(one)) + item, return_index=True)[1]  # a text's first place in a row
+        at, item = at[pick], item[pick]
+        row, place = row[at], place[at]
+        chars = np.asarray(pc.utf8_length(column((end - start)[one], text_of(t.buf, start[one], end[one]))), np.int64)
+        order = np.lexsort((place, -chars[item], row))
+        heads = A.run_starts(row[order])
+        n = np.bincount(row, minlength=rows.num_rows)[row]
+        several = np.asarray(rows["_several"].combine_chunks().cast(pa.uint8())).astype(bool)[row]
+        out = order[heads | several[order]]
+        at, item, row, place, n = at[out], item[out], row[out], place[out], np.where(several, 1, n)[out]
+        texts = column(end[at] - start[at], text_of(t.buf, start[at], end[at])).cast(pa.string())
+        value = values.take(pa.array(np.where(none[value_at[item]] > 0, -1, value_at[item]), mask=none[value_at[item]] > 0)).cast(pa.string())
+        here = pa.array(row, pa.int64())
+        return pa.table([*(rows[c].combine_chunks().take(here) for c in names), texts, value, pa.array(place, pa.int32()), pa.array(n, pa.int64())], schema.names)
+
+    blocks = kept(B.pack(rows, "line", 2 * B.BLOCK_BYTES // max(2, len(sizes))), "blocks")
     sent = B.each_block(blocks, ask, B.SENT).unionByName(B.map_rows(entries.select("entry"), known, B.SENT))
-    return B.with_answers(blocks, B.meet(sent, both, kind), found, schema)
+    marks = kept(B.meet(sent, both, kind), "marks")
+    sent = B.with_answers(blocks, marks, propose, B.SENT).unionByName(B.map_rows(entries.select("entry", "value"), worth, B.SENT))
+    told = kept(sent.groupBy("bucket").applyInArrow(B.group_gives_back(decide), B.ANSWER), "told")
+    return B.with_answers(blocks, marks.unionByName(told), best, schema)
 
 
 def _joined(df: DataFrame, id_cols: Sequence[str], text_col: str, entries: DataFrame) -> DataFrame:
@@ -136,14 +215,21 @@ def _joined(df: DataFrame, id_cols: Sequence[str], text_col: str, entries: DataF
     keys = [F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)]
     names = [f"_id{i}" for i in range(len(id_cols))]
     if importlib.util.find_spec("revlens.llm"):
+        path = scratch_path(df.sparkSession, "repeated")  # an id's rows may stand in several blocks
+        with shuffles_dropped(df.sparkSession):
+            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").write.parquet(path)
+        repeated = df.sparkSession.read.parquet(path)
         lines = spread(df).select(*keys, F.array_join(words(text_col), " ").alias("line")).where(F.length("line") > 0)
-        found = _asked(lines, names, sizes, entries)
+        several = F.lit(False)
+        if not repeated.isEmpty():
+            lines = with_group(lines, repeated, names)
+            several = F.col("_rows").isNotNull()
+        found = _met(lines.select(*names, "line", several.alias("_several")), names, sizes, entries)
     else:
-        found = spread(df).select(*keys, F.inline(sequences(text_col, sizes)))
-    found = found.join(entries, "entry").repartition(*names)  # once for both of the groupings
-    found = found.groupBy(*names, "entry", "value").agg(F.min("place").alias("place"))
+        found = spread(df).select(*keys, F.inline(sequences(text_col, sizes))).join(entries, "entry").withColumn("n", F.lit(1))
+    found = found.groupBy(*names, "entry", "value").agg(F.min("place").alias("place"), F.max("n").alias("n"))
     best = F.max_by(F.struct("value", "entry"), F.struct(F.length("entry"), -F.col("place")))
-    found = found.groupBy(*names).agg(best.alias("_b"), F.count(F.lit(1)).alias("_n"))
+    found = found.groupBy(*names).agg(best.alias("_b"), F.sum("n").alias("_n"))
     same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(id_cols, names)]
     return df.join(found, same, "left").select(
         *df.columns, F.col("_b.value").alias("value"), F.col("_b.entry").alias("entry"), F.coalesce("_n", F.lit(0)).alias("n_found"))
