@@ -165,8 +165,11 @@ def _met(rows: DataFrame, names: list[str], sizes: Sequence[int], entries: DataF
             none.append(x[4])
         if have:
             have, values, none = pa.concat_arrays(have), A.Texts.of(pa.concat_arrays(values)), np.concatenate(none)
-            for block, start, x in (x for x in loaded if x[0] >= 0):
-                at = np.asarray(pc.index_in(column(*x), have).fill_null(-1), np.int64)  # by the text
+            asked = [(block, start, column(*x)) for block, start, x in loaded if block >= 0]
+            texts = pa.concat_arrays([pa.array([], pa.large_string()), *(x for _, _, x in asked)])
+            entry, to = np.asarray(pc.index_in(texts, have).fill_null(-1), np.int64), 0  # by the text; one table of the range
+            for block, start, x in asked:
+                at, to = entry[to : to + len(x)], to + len(x)
                 hit = np.flatnonzero(at >= 0)
                 at = at[hit]
                 first, last = values.off[:-1][at], values.off[1:][at]
